@@ -76,7 +76,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     ordered = docs.withColumn("ord", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("place", F.col("ord").cast("double"))
     n = min(MOST, 1 + docs.select("doc_id").count() // STRETCH)
     cuts = sorted(set(ordered.approxQuantile("place", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    deal = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="place", outputCol="stretch").transform
+    deal = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="place", outputCol="stretch").transform
     dealt = deal(ordered).withColumn("stretch", F.col("stretch").cast("int")).drop("place")
     heads = [(r[0], r[1]) for r in dealt.groupBy("stretch").agg(F.max("ord")).orderBy("stretch").collect()]  # at most MOST rows
     ring = docs.sparkSession.createDataFrame([(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)], "ord long, to int")

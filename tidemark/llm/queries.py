@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op6_decontamination
 from .fingerprints import op3_fingerprints
+from .jaccard import op4_jaccard
 from .language import op9_language
 from .packing import op1_packing
 from .quality import op8_quality
@@ -12,6 +13,6 @@ from .sharding import op7_sharding
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op3_fingerprints, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language)
+    for f in (op1_packing, op3_fingerprints, op4_jaccard, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language)
 }
 ORACLE_SQL: dict[str, str] = {}
