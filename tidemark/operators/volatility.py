@@ -11,18 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HORIZONS, YEAR, BENCHMARK = (1, 5, 21, 63), 252, 63
-BY = W.partitionBy("instrument_id").orderBy("session_date")
+
+
+def _by():
+    return W.partitionBy("instrument_id").orderBy("session_date")
 
 
 def _full(aggregate, column: str, n: int, first: int, last: int) -> Column:
-    frame = BY.rowsBetween(first, last)
+    frame = _by().rowsBetween(first, last)
     return F.when(F.count(column).over(frame) == n, aggregate(column).over(frame))
 
 
 def returns(prices: DataFrame) -> DataFrame:
     """prices (instrument_id, session_date, price) with log_return and squared_return."""
     valid = F.when((F.col("price") > 0) & (F.col("price") < float("inf")), F.col("price"))
-    change = F.log("valid_price") - F.log(F.lag("valid_price").over(BY))
+    change = F.log("valid_price") - F.log(F.lag("valid_price").over(_by()))
     return prices.withColumn("valid_price", valid).withColumn("log_return", change).withColumn("squared_return", F.col("log_return") ** 2).drop("valid_price")
 
 
@@ -51,7 +54,7 @@ def report(prices: DataFrame, horizon: int = 5, lookback: int | None = None) ->
     forward = _full(F.sum, "squared_return", horizon, 1, horizon)
     out = returns(prices).select(
         "instrument_id", "session_date", "price", (forward * YEAR / horizon).alias("forward_annualized_variance"),
-        F.lead("session_date").over(BY).alias("target_start"), F.lead("session_date", horizon).over(BY).alias("target_end"),
+        F.lead("session_date").over(_by()).alias("target_start"), F.lead("session_date", horizon).over(_by()).alias("target_end"),
         (_full(F.avg, "squared_return", back, 1 - back, 0) * YEAR).alias("naive_forecast_annualized_variance"),
     )
     for name in ("forward", "naive_forecast"):
@@ -62,6 +65,6 @@ def report(prices: DataFrame, horizon: int = 5, lookback: int | None = None) ->
 def naive_errors(report_: DataFrame, stride: int = 5) -> DataFrame:
     """Errors over non-overlapping eligible rows: every stride-th after nulls are gone."""
     pairs = report_.filter("forward_annualized_volatility is not null and naive_forecast_annualized_volatility is not null")
-    chosen = pairs.withColumn("k", F.row_number().over(BY) - 1).filter(F.col("k") % stride == 0)
+    chosen = pairs.withColumn("k", F.row_number().over(_by()) - 1).filter(F.col("k") % stride == 0)
     error = F.col("naive_forecast_annualized_volatility") - F.col("forward_annualized_volatility")
     return chosen.groupBy("instrument_id").agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n_obs"))
