@@ -34,7 +34,7 @@ def test_against_sql(spark, name):
     a, b = (f[columns].sort_values(keys).reset_index(drop=True) for f in (got, want))
     for c in columns:
         if c.endswith("date") or c.startswith("target_"):
-            a[c], b[c] = pd.to_datetime(a[c]), pd.to_datetime(b[c])
+            a[c], b[c] = (pd.to_datetime(f[c]).astype("datetime64[us]") for f in (a, b))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1e-7)
 
 
