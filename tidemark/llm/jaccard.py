@@ -32,6 +32,8 @@ SMALL = 6
 FREQUENT, MOST = 32, 1_000_000
 #: Prefix entries to one region task.
 ENTRIES = 1_500_000
+#: Sketches have 2**SLICE_BITS counts of a byte.
+SLICE_BITS = 7
 #: Comparisons with one node that go to one task.
 SALT = 512
 
@@ -56,15 +58,20 @@ def _distinct(found: list[np.ndarray], nodes: np.ndarray) -> list[int]:
     return [i for i in first.tolist() if len(found[i])]
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many members fall into each slice of the hash space; differences of two sketches are never more than the sets'."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - SLICE_BITS)).astype(np.int64), minlength=1 << SLICE_BITS), 255).astype(np.uint8).tobytes()
+
+
 def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, node of every document."""
+    """doc_id, n_shingles, node and sketch of every document."""
 
     def work(batches):
         for batch in batches:
             for ids, found, nodes in _sets(batch, width):
-                yield pa.record_batch([ids, pa.array([len(s) for s in found], pa.int64()), pa.array(nodes.view(np.int64))], ["doc_id", "n_shingles", "node"])
+                yield pa.record_batch([ids, pa.array([len(s) for s in found], pa.int64()), pa.array(nodes.view(np.int64)), pa.array([_sketch(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -142,19 +149,35 @@ def regions(docs: DataFrame, width: int, percent: int, parts: int, known: np.nda
     return dealt.mapInPandas(gather, "region long, nodes array<long>, sizes array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, na, nb) of node pairs. Nodes in many pairs are salted."""
-    pairs = saved(pairs.distinct())
+def paired(pairs: DataFrame, payload: DataFrame, work, schema: str) -> DataFrame:
+    """mapInPandas over (a, b, pa, pb): node pairs with both payloads (node, p). Nodes in many pairs are salted."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    left = sets.join(salts, sets.node == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("sa"), "salts")
-    pairs = pairs.join(salts.withColumnRenamed("a", "a"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("sb")), "b")
-    joined = right.join(left.drop("salts"), ["a", "salt"]).select("a", "b", "sa", "sb")
+    left = payload.join(salts, payload.node == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("p").alias("pa"))
+    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    right = right.join(payload.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+    return saved(right.join(left, ["a", "salt"]).select("a", "b", "pa", "pb").mapInPandas(work, schema))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out; a true link is never ruled out."""
+
+    def work(frames):
+        for f in frames:
+            if len(f):
+                x, y = (np.frombuffer(b"".join(p[12:] for p in f[c]), np.uint8).reshape(len(f), -1).astype(np.int32) for c in ("pa", "pb"))
+                n = sum(np.array([int(p[:12].strip(b"\0")) for p in f[c]], np.int64) for c in ("pa", "pb"))
+                yield f.loc[(n - np.abs(x - y).sum(1)) * (100 + percent) >= 2 * percent * n, ["a", "b"]]
+
+    return paired(saved(pairs.distinct()), sketches, work, "a long, b long")
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, total) of node pairs: the size of the intersection and the sum of both sizes."""
 
     def work(frames):
         for f in frames:
             rows = []
-            for x, y in zip(f["sa"], f["sb"]):
+            for x, y in zip(f["pa"], f["pb"]):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 if len(x) > len(y):
                     x, y = y, x
@@ -162,7 +185,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 rows.append((int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x) + len(y)))
             yield pd.DataFrame({"a": f["a"], "b": f["b"], "common": [r[0] for r in rows], "total": [r[1] for r in rows]}, columns=["a", "b", "common", "total"])
 
-    return saved(joined.mapInPandas(work, "a long, b long, common long, total long"))
+    return paired(pairs, sets, work, "a long, b long, common long, total long")
 
 
 def _first_round(regions_: DataFrame, percent: int) -> DataFrame:
@@ -210,26 +233,32 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     parts = int(1 + total * (101 - percent) // 100 // ENTRIES) if total else 1
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = saved(regions(docs, width, percent, parts, frequent(docs, width)))
-    wanted = saved(met.select(F.explode("nodes").alias("node")).distinct())
-    filter_ = spark.sparkContext.broadcast(bitmap(wanted, wanted.count()))
+    sizes = F.lpad(F.encode(F.col("n_shingles").cast("string"), "UTF-8"), 12, F.lit(b"\x00"))
+    sketches = named.filter("n_shingles > 0").groupBy("node").agg(F.first(F.concat(sizes, "sketch")).alias("p"))
 
-    def emit(batches):
-        for batch in batches:
-            for _, found, nodes in _sets(batch, width):
-                rows = [i for i in _distinct(found, nodes) if maybe(nodes[i : i + 1], filter_.value)[0]]
-                yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([found[i].tobytes() for i in rows], pa.binary())], ["node", "members"])
+    def sets(pairs):
+        wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        filter_ = spark.sparkContext.broadcast(bitmap(wanted, wanted.count()))
+
+        def emit(batches):
+            for batch in batches:
+                for _, found, nodes in _sets(batch, width):
+                    rows = [i for i in _distinct(found, nodes) if maybe(nodes[i : i + 1], filter_.value)[0]]
+                    yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([found[i].tobytes() for i in rows], pa.binary())], ["node", "p"])
+
+        return docs.mapInArrow(emit, "node long, p binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    sets = saved(docs.mapInArrow(emit, "node long, members binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")))
     close = 100 * F.col("common") >= percent * (F.col("total") - F.col("common"))
-    first = measured(_first_round(met, percent), sets)
+    pairs = possible(_first_round(met, percent), sketches, percent)
+    first = measured(pairs, saved(sets(pairs)))
     links = first.filter(close)
     large = met.filter(F.size("nodes") > SMALL)
     if large.limit(1).count():
-        labels = components(links)
-        more = measured(_rest(large, labels, first, percent), sets)
-        links = links.unionByName(more.filter(close))
+        pairs = possible(_rest(large, components(links), first, percent), sketches, percent)
+        if pairs.limit(1).count():
+            links = links.unionByName(measured(pairs, saved(sets(pairs))).filter(close))
     labels = components(links)
-    joined = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = named.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     full = joined.join(least, "label", "left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
