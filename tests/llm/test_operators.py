@@ -251,3 +251,28 @@ def test_gradients_against_differences():
             loss.append(net.gradients(np.ascontiguousarray(x), y)[0])
         net.p[k][at] = kept
         assert abs((loss[0] - loss[1]) / 2e-2 - g[k][at]) < 2e-3
+
+
+def test_suffixes(spark, folder):
+    raw = {d: (t or "").encode() for d, t in texts(spark, folder).items()}
+    least = {}
+    for d in sorted(raw):
+        for i in range(len(raw[d]) - 49):
+            least.setdefault(raw[d][i : i + 50], d)
+    for r in rows(spark, folder, "op10_suffixes"):
+        t, gone = raw[r["doc_id"]], set()
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < r["doc_id"]:
+                gone.update(range(i, i + 50))
+        kept = bytes(c for i, c in enumerate(t) if i not in gone)
+        spans = sum(i - 1 not in gone for i in gone)
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(t), len(gone), spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+def test_suffix_array_against_sorting():
+    from tidemark.llm import suffixes
+
+    data = np.random.default_rng(2).integers(0, 3, 400).astype(np.uint8)
+    order, _ = suffixes.suffix_array(data, 512)
+    assert order.tolist() == sorted(range(400), key=lambda i: data[i:].tobytes())
