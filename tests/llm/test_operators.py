@@ -276,3 +276,25 @@ def test_suffix_array_against_sorting():
     data = np.random.default_rng(2).integers(0, 3, 400).astype(np.uint8)
     order, _ = suffixes.suffix_array(data, 512)
     assert order.tolist() == sorted(range(400), key=lambda i: data[i:].tobytes())
+
+
+def test_scoring(spark, folder):
+    words = {d: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None] for d, t in texts(spark, folder).items()}
+    counts = defaultdict(int)
+    for d, w in words.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for x in w:
+                counts[x] += 1
+    total, kinds = sum(counts.values()), len(counts)
+    got = {r["doc_id"]: r for r in rows(spark, folder, "op2_scoring")}
+    assert set(got) == set(words)
+    for d, w in words.items():
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), total)
+        assert abs(r["base_score"] - sum(np.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)) < 1e-6 * len(w)
+        assert r["score"] < 0
+
+
+def test_class_model_beats_unigrams_on_held_out_text(spark):
+    tested = [r for r in rows(spark, "/root/testdata/sf0.01", "op2_scoring") if r["held_out"]]
+    assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)

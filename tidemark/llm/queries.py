@@ -8,12 +8,13 @@ from .jaccard import op4_jaccard
 from .language import op9_language
 from .packing import op1_packing
 from .quality import op8_quality
+from .scoring import op2_scoring
 from .secrets import op5_secrets
 from .sharding import op7_sharding
 from .suffixes import op10_suffixes
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op3_fingerprints, op4_jaccard, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language, op10_suffixes)
+    for f in (op1_packing, op2_scoring, op3_fingerprints, op4_jaccard, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language, op10_suffixes)
 }
 ORACLE_SQL: dict[str, str] = {}
