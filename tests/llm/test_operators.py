@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tests_brute import brute_components, brute_set
 
 from tidemark.llm import decontamination, fingerprints, jaccard, language, packing, queries, secrets, sharding
 
@@ -79,35 +80,6 @@ def test_fingerprints(spark, folder):
     assert got[order[0]]["fingerprint"] == fingerprints.signatures([all_texts[order[0]] or ""])[0].tobytes().hex()
 
 
-def brute_set(text):
-    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def brute_components(sets, percent=75):
-    parent = {d: d for d in sets}
-
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
-
-    where = defaultdict(set)
-    for d, s in sets.items():
-        for x in s:
-            where[x].add(d)
-    for d, s in sets.items():
-        common = defaultdict(int)
-        for x in s:
-            for e in where[x]:
-                common[e] += 1
-        for e, c in common.items():
-            if 100 * c >= percent * (len(s) + len(sets[e]) - c):
-                a, b = sorted((root(d), root(e)))
-                parent[b] = a
-    return {d: root(d) for d in sets}
-
-
 def test_jaccard(spark, folder):
     sets = {d: brute_set(t) for d, t in texts(spark, folder).items()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(spark, folder, "op4_jaccard")}
