@@ -16,55 +16,73 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import _text
 from ._spark import ready, saved, table
 
 CAPACITY = 2048
 BUCKETS = 256
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 300_000
+#: Words are encoded so many at a time, with this symbol between them.
+JOINED, BAR = 32, "|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def encoder(path: str):
-    """A function from texts to their ids as little-endian 32-bit bytes.
+    """A function from a string array to each row's ids as little-endian 32-bit bytes.
 
-    The vocabulary's normaliser and splitter never look across a space or line end, so a text's ids are
-    those of its words in a row, and each distinct word is encoded once.
+    The vocabulary lower-cases, and its normaliser and splitter never look across a space, a line end or
+    the border of a letter and a full stop or comma that ends a word. So a text's ids are those of its
+    parts in a row, and each distinct part of a chunk is encoded once.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model, known = Tokenizer.from_file(path), {}
+    (bar,) = model.encode(BAR, add_special_tokens=False).ids  # a symbol between spaces is one id, and no other text gives it
 
-    def encode(texts: list[str]):
+    def learn(words: list[str]):
         nonlocal known
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts) - known.keys())
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > REMEMBERED:
-            known, new = {}, list(set().union(*parts))
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(some, add_special_tokens=False))))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+            known, new = {}, words
+        alone, joined = [w for w in new if BAR in w], [w for w in new if BAR not in w]
+        known.update(zip(alone, (np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(alone, add_special_tokens=False))))
+        groups = [joined[lo : lo + JOINED] for lo in range(0, len(joined), JOINED)]
+        for lo in range(0, len(groups), 256):
+            some = groups[lo : lo + 256]
+            for group, e in zip(some, model.encode_batch_fast([f" {BAR} ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cut = [-1, *np.flatnonzero(ids == bar).tolist(), len(ids)]
+                known.update(zip(group, [ids[a + 1 : b].tobytes() for a, b in zip(cut, cut[1:])]))
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        # the names of special tokens are matched before the lower-casing, so texts that may hold one stay as they are
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        low = pc.replace_substring(low, "\n", " ")
+        for mark in ".,":
+            low = pc.replace_substring_regex(low, rf"([a-z])[{mark}] ", rf"\1 {mark} ")
+        parts = pc.split_pattern(low, " ")
+        coded = parts.values.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        learn(words)
+        found = [known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        end = np.concatenate([[0], np.cumsum(size)])
+        row = ids[np.repeat(begin[codes] - end[:-1], size) + np.arange(end[-1])]
+        cut = end[parts.offsets.to_numpy()].tolist()
+        return [row[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
     return encode
 
 
-def groups(texts: list[str], limit: int = 1 << 20):
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of a document's ids, of at most the capacity each."""
     end = np.array([end_id], "<u4").tobytes()
@@ -72,9 +90,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     def cut(batches):
         encode = encoder(path)
         for batch in batches:
-            ids, texts, out = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
-            for lo, hi in groups(texts):
-                for doc, body in zip(ids[lo:hi], encode(texts[lo:hi])):
+            ids, texts, out = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string()).fill_null(""), []
+            for lo, hi in _text.chunks(_text.buffer(texts)[1]):
+                for doc, body in zip(ids[lo:hi], encode(texts.slice(lo, hi - lo))):
                     body += end
                     for k, at in enumerate(range(0, len(body), 4 * capacity)):
                         part = body[at : at + 4 * capacity]
