@@ -30,11 +30,11 @@ def test_against_sql(spark, name):
     want = db.execute(registry.ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got)
-    keys = list(got.columns[:2])
-    a, b = (f[columns].sort_values(keys).reset_index(drop=True) for f in (got, want))
+    keys = [c for c in columns if got[c].dtype.kind != "f"]
     for c in columns:
         if c.endswith("date") or c.startswith("target_"):
-            a[c], b[c] = (pd.to_datetime(f[c]).astype("datetime64[us]") for f in (a, b))
+            got[c], want[c] = (pd.to_datetime(f[c]).astype("datetime64[us]") for f in (got, want))
+    a, b = (f[columns].sort_values(keys).reset_index(drop=True) for f in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1e-7)
 
 
@@ -45,6 +45,14 @@ def test_invalid_price_voids_two_returns(spark):
     assert [x is None for x in got] == [True, False, True, True, False]
 
 
+def test_ewma_decays_over_nulls_like_a_recursive_mean(spark):
+    xs = [None, 1.0, 4.0, None, None, 2.0, 8.0, None, 3.0]
+    frame = spark.createDataFrame([("a", f"2025-01-{i + 10}", x) for i, x in enumerate(xs)], "instrument_id string, session_date string, x double")
+    got = volatility.ewma(frame, "x", 3).orderBy("session_date").toPandas()["ewma"]
+    want = pd.Series(xs, dtype=float).ewm(span=3, adjust=False, min_periods=3).mean()
+    pd.testing.assert_series_equal(got, want, check_names=False)
+
+
 def test_entry_survives_without_the_optional_operators():
     import __spark_entry__ as e
 

@@ -29,7 +29,7 @@ def returns(prices: DataFrame) -> DataFrame:
     return prices.withColumn("valid_price", valid).withColumn("log_return", change).withColumn("squared_return", F.col("log_return") ** 2).drop("valid_price")
 
 
-def features(prices: DataFrame) -> DataFrame:
+def _with_features(prices: DataFrame) -> DataFrame:
     out = returns(prices)
     for h in HORIZONS:
         out = out.withColumn(f"horizon_variance_{h}d", _full(F.sum, "squared_return", h, 1 - h, 0))
@@ -44,15 +44,22 @@ def features(prices: DataFrame) -> DataFrame:
         out.withColumn("variance_ratio_5_21", F.col("annualized_variance_5d") / long_run)
         .withColumn("volatility_zscore_21", (F.col(current) - mean) / F.when(spread != 0, spread))
         .withColumn("regime", F.when(z.isNull(), "unknown").when(z <= -1, "low").when(z >= 1, "high").otherwise("normal"))
-        .drop("price", "log_return", "squared_return")
     )
 
 
+def features(prices: DataFrame) -> DataFrame:
+    return _with_features(prices).drop("price", "log_return", "squared_return")
+
+
 def report(prices: DataFrame, horizon: int = 5, lookback: int | None = None) -> DataFrame:
     """Forward variance of each session's next `horizon` sessions beside the trailing naive forecast."""
-    back = lookback or horizon
+    return _targets(returns(prices), horizon, lookback or horizon)
+
+
+def _targets(sessions: DataFrame, horizon: int, back: int, *kept: str) -> DataFrame:
     forward = _full(F.sum, "squared_return", horizon, 1, horizon)
-    out = returns(prices).select(
+    out = sessions.select(
+        *kept,
         "instrument_id", "session_date", "price", (forward * YEAR / horizon).alias("forward_annualized_variance"),
         F.lead("session_date").over(_by()).alias("target_start"), F.lead("session_date", horizon).over(_by()).alias("target_end"),
         (_full(F.avg, "squared_return", back, 1 - back, 0) * YEAR).alias("naive_forecast_annualized_variance"),
@@ -68,3 +75,89 @@ def naive_errors(report_: DataFrame, stride: int = 5) -> DataFrame:
     chosen = pairs.withColumn("k", F.row_number().over(_by()) - 1).filter(F.col("k") % stride == 0)
     error = F.col("naive_forecast_annualized_volatility") - F.col("forward_annualized_volatility")
     return chosen.groupBy("instrument_id").agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.count(F.lit(1)).alias("n_obs"))
+
+
+def backtest(prices: DataFrame, horizon: int = 5, span: int | None = None) -> DataFrame:
+    """The report with each session's regime and the EWMA forecast beside the naive one."""
+    out = ewma(_targets(_with_features(prices), horizon, horizon, "regime", "squared_return"), "squared_return", span or max(horizon, 2))
+    out = out.withColumn("ewma_forecast_annualized_variance", F.col("ewma") * YEAR)
+    return out.withColumn("ewma_forecast_annualized_volatility", F.sqrt("ewma_forecast_annualized_variance")).drop("ewma", "squared_return")
+
+
+def ewma(sessions: DataFrame, column: str, span: int) -> DataFrame:
+    """Adds `ewma`, the recursive mean of weight 2 / (span + 1): history decays over nulls too, and the first span - 1 values stay null.
+
+    The recursion follows one instrument's sessions, a few hundred a year, so a group is small whatever the number of instruments.
+    """
+    alpha = 2 / (span + 1)
+
+    def follow(frame):
+        frame = frame.sort_values("session_date")
+        mean, weight, seen, out = None, 1.0, 0, []
+        for x in frame[column].tolist():
+            weight *= 1 - alpha
+            if x == x and x is not None:
+                mean = x if mean is None else (weight * mean + alpha * x) / (weight + alpha)
+                weight, seen = 1.0, seen + 1
+            out.append(mean if seen >= span else None)
+        return frame.assign(ewma=out).astype({"ewma": "float64"})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema)
+    return sessions.groupBy("instrument_id").applyInPandas(follow, f"{fields}, ewma double")
+
+
+def metrics(backtest_: DataFrame, model: str, by: tuple[str, ...] = ("instrument_id",), stride: int = 5) -> DataFrame:
+    """Errors, correlation and shared direction of change of variance and volatility over non-overlapping rows.
+
+    Rows are chosen before they are grouped; a change is against the previous chosen row of the same group.
+    Correlation is null where a side is constant, direction where a group has one row.
+    """
+    target, forecast = "forward_annualized_variance", f"{model}_forecast_annualized_variance"
+    chosen = backtest_.filter(F.col(target).isNotNull() & F.col(forecast).isNotNull()).withColumn("k", F.row_number().over(_by()) - 1).filter(F.col("k") % stride == 0)
+    measures = [F.struct(F.lit(m).alias("measure"), f(target).alias("y"), f(forecast).alias("p")) for m, f in (("variance", F.col), ("volatility", F.sqrt))]
+    rows = chosen.select(*dict.fromkeys(("instrument_id", *by)), "session_date", F.explode(F.array(*measures)).alias("m")).select("*", "m.*").drop("m")
+    order = W.partitionBy(*by, "measure").orderBy("session_date")
+    same = F.signum(F.col("y") - F.lag("y").over(order)) == F.signum(F.col("p") - F.lag("p").over(order))
+    error, spread = F.col("p") - F.col("y"), F.stddev_pop("y") * F.stddev_pop("p")
+    return rows.withColumn("same", same.cast("double")).groupBy(*by, "measure").agg(
+        F.lit(model).alias("model"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+        F.when(spread > 0, F.covar_pop("y", "p") / spread).alias("correlation"), F.avg("same").alias("change_direction_accuracy"), F.count(F.lit(1)).alias("n_obs"),
+    )
+
+
+def estimates(features_: DataFrame) -> DataFrame:
+    """One row per session and horizon, of sessions where every horizon is known."""
+    names = ("horizon_variance", "annualized_variance", "annualized_volatility")
+    rows = [F.struct(F.lit(h).alias("horizon"), *[F.col(f"{n}_{h}d").alias(n) for n in names]) for h in HORIZONS]
+    complete = features_.dropna(subset=[f"{n}_{h}d" for n in names for h in HORIZONS])
+    return complete.select("instrument_id", "session_date", F.explode(F.array(*rows)).alias("e")).select("instrument_id", "session_date", "e.*")
+
+
+def latest_complete(features_: DataFrame) -> DataFrame:
+    """Each instrument's last session where every horizon is known."""
+    values = [f"annualized_volatility_{h}d" for h in HORIZONS]
+    complete = features_.dropna(subset=values)
+    return complete.groupBy("instrument_id").agg(F.max_by(F.struct("session_date", *values, "regime"), "session_date").alias("s")).select("instrument_id", "s.*")
+
+
+def absolute_return_proxy(prices: DataFrame, window: int = 21) -> DataFrame:
+    """The rolling mean of absolute returns, annualized; a diagnostic, not an estimator of volatility."""
+    moves = returns(prices).withColumn("move", F.abs("log_return"))
+    return moves.select("instrument_id", "session_date", (_full(F.avg, "move", window, 1 - window, 0) * F.sqrt(F.lit(YEAR))).alias("proxy"))
+
+
+def drawdown(prices: DataFrame) -> DataFrame:
+    """How far each price lies below the highest so far."""
+    peak = F.max("price").over(_by().rowsBetween(W.unboundedPreceding, W.currentRow))
+    return prices.select("instrument_id", "session_date", (peak - F.col("price")).alias("drawdown"))
+
+
+def walk_forward(prices: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """(instrument_id, session_date, split, role) of rolling fixed slices; each session finds its splits by arithmetic, without a join."""
+    size, i = train + test, F.col("i")
+    rows = prices.select("instrument_id", "session_date", (F.row_number().over(_by()) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("instrument_id")).alias("n"))
+    first = F.greatest(F.lit(0), F.ceil((i - size + 1) / step)).cast("int")
+    last = F.least(F.floor(i / step), F.floor((F.col("n") - size) / step)).cast("int")
+    rows = rows.withColumn("first", first).withColumn("last", last).filter("n >= {} and first <= last".format(size))
+    rows = rows.select("instrument_id", "session_date", "i", F.explode(F.sequence("first", "last")).alias("split"))
+    return rows.select("instrument_id", "session_date", "split", F.when(i - F.col("split") * step < train, "train").otherwise("test").alias("role"))
