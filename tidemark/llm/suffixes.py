@@ -25,6 +25,8 @@ from ._spark import ready, saved, table
 from .blobs import bitmap, maybe
 
 LENGTH, GRAM = 50, 24
+#: A shard sorts its segments in so many slices, one after the other; each name belongs to one slice.
+SLICES = 32
 
 
 def names(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -115,7 +117,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         """Chunks of (ids, data, offsets, run starts, run ends, names): neighbouring places of one name."""
         data, offsets = _text.buffer(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi in _text.chunks(offsets, 8 << 20):
+        for lo, hi in _text.chunks(offsets, 4 << 20):
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             name = names(d, o, length)
             cut = np.flatnonzero(np.diff(name, prepend=np.uint64(0), append=np.uint64(0)))
@@ -162,18 +164,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 a, b, name = a[use], b[use], name[use]
                 doc = np.searchsorted(o, a, "right") - 1
                 raw, held = d.tobytes(), {}
-                for x, y, i, k in zip(a.tolist(), b.tolist(), doc.tolist(), name.tolist()):
-                    held.setdefault((k % parts, raw[x : y + length - 1]), []).append((ids[i], x - o[i]))
-                rows = [(p, s, np.array(w, np.int64).tobytes()) for (p, s), w in held.items()]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "segment", "places"])
-
-    def judge(frames):
-        held: dict[bytes, list] = {}
-        for f in frames:
-            for s, w in zip(f["segment"], f["places"]):
-                held.setdefault(s, []).append(w)
-        if not held:
-            return
+                places = np.column_stack([ids[doc], a - o[doc]]).astype(np.int64)
+                for n, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+                    held.setdefault(raw[x : y + length - 1], []).append(n)
+                one = np.array([w[0] for w in held.values()], np.int64)
+                h = _text.mix(name[one])
+                where = [places[w].tobytes() for w in held.values()]
+                part, slice_ = (h % np.uint64(parts)).astype(np.int32), ((h >> np.uint64(40)) % np.uint64(SLICES)).astype(np.int32)
+                yield pa.record_batch([pa.array(part), pa.array(slice_), pa.array(list(held), pa.binary()), pa.array(where, pa.binary())], ["part", "slice", "segment", "places"])
+
+    def decided(held: dict[bytes, list]) -> pd.DataFrame:
         places = [np.frombuffer(b"".join(w), np.int64).reshape(-1, 2) for w in held.values()]
         least = least_owner(list(held), np.array([w[:, 0].min() for w in places]), length)
         doc, start, end = [], [], []
@@ -184,9 +184,22 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 doc.append(late[:, 0])
                 start.append(late[:, 1] + x)
                 end.append(late[:, 1] + y + length - 1)
-        yield pd.DataFrame({"doc_id": np.concatenate(doc), "start": np.concatenate(start), "end": np.concatenate(end)})
+        return pd.DataFrame({"doc_id": np.concatenate(doc), "start": np.concatenate(start), "end": np.concatenate(end)})
+
+    def judge(frames):
+        held: dict[bytes, list] = {}
+        current = None
+        for f in frames:
+            for k, s, w in zip(f["slice"], f["segment"], f["places"]):
+                if k != current and held:
+                    yield decided(held)
+                    held = {}
+                current = k
+                held.setdefault(s, []).append(w)
+        if held:
+            yield decided(held)
 
-    dealt = docs.mapInArrow(segments, "part int, segment binary, places binary").repartition(parts, "part")
+    dealt = docs.mapInArrow(segments, "part int, slice int, segment binary, places binary").repartition(parts, "part").sortWithinPartitions("slice")
     return dealt.mapInPandas(judge, "doc_id long, start long, end long")
 
 
