@@ -27,13 +27,15 @@ from .components import components
 
 WIDTH, PERCENT = 5, 75
 #: Regions of at most so many nodes compare all their pairs at once.
-SMALL = 6
+SMALL = 3
 #: A shingle in so many sets is frequent and comes last in prefixes; the list of them is kept below MOST.
 FREQUENT, MOST = 32, 1_000_000
 #: Prefix entries to one region task.
 ENTRIES = 1_500_000
-#: Sketches have 2**SLICE_BITS counts of a byte.
-SLICE_BITS = 7
+#: A sketch has one slice to two members, 2**LEAST_BITS to 2**MOST_BITS in all.
+LEAST_BITS, MOST_BITS = 4, 15
+#: Bytes of a shingle's hash that verification keeps.
+KEPT = 6
 #: Comparisons with one node that go to one task.
 SALT = 512
 
@@ -59,8 +61,30 @@ def _distinct(found: list[np.ndarray], nodes: np.ndarray) -> list[int]:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """How many members fall into each slice of the hash space; differences of two sketches are never more than the sets'."""
-    return np.minimum(np.bincount((s >> np.uint64(64 - SLICE_BITS)).astype(np.int64), minlength=1 << SLICE_BITS), 255).astype(np.uint8).tobytes()
+    """How many members fall into each slice of the hash space, up to 15, two counts to a byte; differences of two sketches are never more than the sets'."""
+    bits = min(max(int(len(s) - 1).bit_length() - 1, LEAST_BITS), MOST_BITS)
+    count = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (count[::2] | count[1::2] << 4).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the sets' symmetric difference; the finer sketch is folded to the coarser."""
+    x, y = (np.frombuffer(p, np.uint8) for p in (x, y))
+    x, y = (np.column_stack([p & 15, p >> 4]).ravel().astype(np.int64) for p in (x, y))
+    k = min(len(x), len(y))
+    return int(np.abs(x.reshape(k, -1).sum(1) - y.reshape(k, -1).sum(1)).sum())
+
+
+def _pack(s: np.ndarray) -> bytes:
+    """The low KEPT bytes of each hash, sorted."""
+    low = np.sort(s & np.uint64((1 << 8 * KEPT) - 1))
+    return low.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def _unpack(p: bytes) -> np.ndarray:
+    out = np.zeros((len(p) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(p, np.uint8).reshape(-1, KEPT)
+    return out.view("<u8").ravel()
 
 
 def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -91,18 +115,19 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(counted.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("node", "<u8"), ("n", "<u4")])
+#: A part's shingles are told apart by 32 bits; two that fall together make one larger region.
+_ENTRY = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4")])
 
 
 def regions(docs: DataFrame, width: int, percent: int, parts: int, known: np.ndarray) -> DataFrame:
-    """(region, nodes, sizes) of every prefix shingle that two or more nodes share."""
+    """(region, pivot, nodes, sizes) of every prefix shingle that two or more nodes share; the pivot has the least mixed name, so that regions of one group agree on it."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def prefixes(batches):
         last = shared.value
         for batch in batches:
             for _, found, nodes in _sets(batch, width):
-                entries = []
+                entries, full = [], []
                 for i in _distinct(found, nodes):
                     s = found[i]
                     k = len(s) - -(-percent * len(s) // 100) + 1
@@ -112,25 +137,28 @@ def regions(docs: DataFrame, width: int, percent: int, parts: int, known: np.nda
                         if often.any():
                             s = np.concatenate([s[~often], s[often]])
                     e = np.empty(k, _ENTRY)
-                    e["h"], e["node"], e["n"] = s[:k], nodes[i], len(s)
+                    e["h"], e["node"], e["n"] = s[:k] & np.uint64(0xFFFFFFFF), nodes[i], len(s)
                     entries.append(e)
+                    full.append(s[:k])
                 if not entries:
                     continue
                 e = np.concatenate(entries)
-                part = (_text.mix(e["h"]) % np.uint64(parts)).astype(np.int64)
+                part = (_text.mix(np.concatenate(full)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 e, cut = e[order], np.searchsorted(part[order], np.arange(parts + 1))
                 rows = [(p, e[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "entries"])
 
     def gather(frames):
-        held = [np.frombuffer(b, _ENTRY) for f in frames for b in f["entries"]]
+        held = [(p, np.frombuffer(b, _ENTRY)) for f in frames for p, b in zip(f["part"], f["entries"])]
         if not held:
             return
-        e = np.concatenate(held)
+        e = np.concatenate([x for _, x in held])
+        h = np.repeat(np.array([p for p, _ in held], np.int64) << 32, [len(x) for _, x in held]) | e["h"]
         held.clear()
-        e = e[np.argsort(e["h"], kind="stable")]
-        new = np.flatnonzero(np.diff(e["h"], prepend=~e["h"][:1]))
+        order = np.argsort(h, kind="stable")
+        e, h = e[order], h[order]
+        new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
         size = np.diff(new, append=len(e))
         rows, seen = [], set()
         for a, k in zip(new[size > 1].tolist(), size[size > 1].tolist()):
@@ -139,14 +167,14 @@ def regions(docs: DataFrame, width: int, percent: int, parts: int, known: np.nda
                 key = nodes.tobytes()
                 if key not in seen:  # neighbouring shingles of one passage have the same nodes
                     seen.add(key)
-                    rows.append((int(e["h"][a].view(np.int64)), nodes.view(np.int64).tolist(), e["n"][a : a + k][first].astype(int).tolist()))
+                    rows.append((int(h[a]), int(nodes[_text.mix(nodes).argmin()].view(np.int64)), nodes.view(np.int64).tolist(), e["n"][a : a + k][first].astype(int).tolist()))
             if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=["region", "nodes", "sizes"])
+                yield pd.DataFrame(rows, columns=["region", "pivot", "nodes", "sizes"])
                 rows = []
-        yield pd.DataFrame(rows, columns=["region", "nodes", "sizes"])
+        yield pd.DataFrame(rows, columns=["region", "pivot", "nodes", "sizes"])
 
     dealt = docs.mapInArrow(prefixes, "part int, entries binary").repartition(parts, "part")
-    return dealt.mapInPandas(gather, "region long, nodes array<long>, sizes array<long>")
+    return dealt.mapInPandas(gather, "region long, pivot long, nodes array<long>, sizes array<long>")
 
 
 def paired(pairs: DataFrame, payload: DataFrame, work, schema: str) -> DataFrame:
@@ -164,9 +192,9 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def work(frames):
         for f in frames:
             if len(f):
-                x, y = (np.frombuffer(b"".join(p[12:] for p in f[c]), np.uint8).reshape(len(f), -1).astype(np.int32) for c in ("pa", "pb"))
+                apart = np.array([_apart(x[12:], y[12:]) for x, y in zip(f["pa"], f["pb"])], np.int64)
                 n = sum(np.array([int(p[:12].strip(b"\0")) for p in f[c]], np.int64) for c in ("pa", "pb"))
-                yield f.loc[(n - np.abs(x - y).sum(1)) * (100 + percent) >= 2 * percent * n, ["a", "b"]]
+                yield f.loc[(n - apart) * (100 + percent) >= 2 * percent * n, ["a", "b"]]
 
     return paired(saved(pairs.distinct()), sketches, work, "a long, b long")
 
@@ -178,7 +206,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for x, y in zip(f["pa"], f["pb"]):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                x, y = _unpack(x), _unpack(y)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -192,11 +220,9 @@ def _first_round(regions_: DataFrame, percent: int) -> DataFrame:
     def work(frames):
         for f in frames:
             out = []
-            for nodes, sizes in zip(f["nodes"], f["sizes"]):
+            for pivot, nodes, sizes in zip(f["pivot"], f["nodes"], f["sizes"]):
                 v, n = np.asarray(nodes), np.asarray(sizes)
-                order = np.lexsort((v, n))
-                mid = order[len(order) // 2]
-                heads = range(len(v)) if len(v) <= SMALL else [mid]
+                heads = range(len(v)) if len(v) <= SMALL else np.flatnonzero(v == pivot)
                 for i in heads:
                     ok = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (v != v[i])
                     if len(v) <= SMALL:
@@ -209,7 +235,7 @@ def _first_round(regions_: DataFrame, percent: int) -> DataFrame:
 
 def _rest(large: DataFrame, labels: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
     """Pairs of a region that lie in different components: nodes outside its greatest component against those the windows admit."""
-    items = large.select("region", F.expr("element_at(array_sort(arrays_zip(sizes, nodes)), cast(size(nodes) / 2 as int) + 1).nodes").alias("pivot"), F.explode(F.arrays_zip("nodes", "sizes")).alias("m"))
+    items = large.select("region", "pivot", F.explode(F.arrays_zip("nodes", "sizes")).alias("m"))
     items = items.select("region", "pivot", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"))
     items = items.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     gone = distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
@@ -234,27 +260,32 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = saved(regions(docs, width, percent, parts, frequent(docs, width)))
     sizes = F.lpad(F.encode(F.col("n_shingles").cast("string"), "UTF-8"), 12, F.lit(b"\x00"))
-    sketches = named.filter("n_shingles > 0").groupBy("node").agg(F.first(F.concat(sizes, "sketch")).alias("p"))
+    sketches = saved(named.filter("n_shingles > 0").groupBy("node").agg(F.first(F.concat(sizes, "sketch")).alias("p"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("holder")))
 
     def sets(pairs):
-        wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        """(node, p): the packed set of every node in pairs, as its least document holds it."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = saved(sketches.join(wanted, "node", "left_semi").select(F.col("node").bitwiseXOR(F.shiftleft("holder", 37)).alias("key"), "node"))
         filter_ = spark.sparkContext.broadcast(bitmap(wanted, wanted.count()))
 
         def emit(batches):
             for batch in batches:
-                for _, found, nodes in _sets(batch, width):
-                    rows = [i for i in _distinct(found, nodes) if maybe(nodes[i : i + 1], filter_.value)[0]]
-                    yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([found[i].tobytes() for i in rows], pa.binary())], ["node", "p"])
+                for ids, found, nodes in _sets(batch, width):
+                    key = nodes ^ (ids.fill_null(-1).to_numpy().astype(np.uint64) << np.uint64(37))
+                    use = np.flatnonzero(maybe(key, filter_.value))
+                    rows = [i for i in use.tolist() if len(found[i])]
+                    yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([_pack(found[i]) for i in rows], pa.binary())], ["node", "p"])
 
-        return docs.mapInArrow(emit, "node long, p binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return docs.mapInArrow(emit, "node long, p binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     close = 100 * F.col("common") >= percent * (F.col("total") - F.col("common"))
-    pairs = possible(_first_round(met, percent), sketches, percent)
+    outlines = sketches.select("node", "p")
+    pairs = possible(_first_round(met, percent), outlines, percent)
     first = measured(pairs, saved(sets(pairs)))
     links = first.filter(close)
     large = met.filter(F.size("nodes") > SMALL)
     if large.limit(1).count():
-        pairs = possible(_rest(large, components(links), first, percent), sketches, percent)
+        pairs = possible(_rest(large, components(links), first, percent), outlines, percent)
         if pairs.limit(1).count():
             links = links.unionByName(measured(pairs, saved(sets(pairs))).filter(close))
     labels = components(links)
