@@ -1,6 +1,9 @@
 """Corpus preparation from raw documents to packed training sequences.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of documents.
+
+Every row is judged by its own text, whatever its id: null ids are kept like others, and of several texts
+under one id each stays, goes or is redacted on its own. Repeated rows are one group of near duplicates.
 """
 
 from __future__ import annotations
@@ -17,35 +20,38 @@ from tidemark.llm._spark import ready, saved, table
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; the others carry the recognised one."""
-    net = language.train(docs.filter(language.remainder(4) != 2))
-    found = language.identify(docs, net).filter("lang_pred <> 'und'").groupBy("doc_id").agg(F.first("lang_pred").alias("lang_pred"))
-    return docs.join(found, "doc_id").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return language.tagged(docs, language.train(docs.filter(language.remainder(4) != 2)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each linked group stays."""
-    return _keep(docs, jaccard.linked(docs).filter("doc_id = component_id"))
+    """One document of each linked group stays: that of the least id, null last, then of the least hash of its row.
+
+    Documents without words are linked with nothing and stay.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    named = jaccard.labelled(docs.select("doc_id", "text", row.alias("row")))
+    keys = saved(named.groupBy("label", "doc_id", "row", (F.col("n_shingles") > 0).alias("words")).agg(F.count(F.lit(1)).alias("n")))
+    least = keys.filter("words").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
+    least = least.select(F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"))
+    chosen = keys.filter("words").join(least, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("row") == F.col("least_row")), "left_semi")
+    chosen = saved(chosen.unionByName(keys.filter("not words")).select(F.col("doc_id").alias("chosen_id"), F.col("row").alias("chosen_row"), (F.col("words") & (F.col("n") > 1)).alias("repeated")))
+
+    def kept(some: DataFrame) -> DataFrame:
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (row == F.col("chosen_row")), "left_semi")
+
+    return kept(chosen.filter("not repeated")).unionByName(kept(chosen.filter("repeated")).dropDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = saved(decontamination.scan(docs, table(spark, sf_dir, "benchmark"), code_points=False).select("doc_id", F.size("hit_words").alias("n_hit")))
-    return _keep(docs, found.filter("n_hit = 0"))
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; documents without any stay as they are."""
-    found = saved(secrets.scan(docs).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("redacted").alias("redacted")))
-    changed = docs.join(found, "doc_id", "left")
-    text = F.coalesce("redacted", "text")
-    n_chars = F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(F.length("redacted")).cast(docs.schema["n_chars"].dataType)
-    return changed.withColumn("n_chars", n_chars).withColumn("text", text).select(docs.columns)
+    return secrets.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

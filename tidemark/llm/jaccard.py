@@ -88,14 +88,18 @@ def _unpack(p: bytes) -> np.ndarray:
 
 
 def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, node and sketch of every document."""
+    """doc_id, row if there is one, n_shingles, node and sketch of every document."""
+    names = [c for c in docs.columns if c != "text"] + ["n_shingles", "node", "sketch"]
 
     def work(batches):
         for batch in batches:
+            at = 0
             for ids, found, nodes in _sets(batch, width):
-                yield pa.record_batch([ids, pa.array([len(s) for s in found], pa.int64()), pa.array(nodes.view(np.int64)), pa.array([_sketch(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+                more = [c[at : at + len(ids)] for c in batch.columns[2:]]
+                at += len(ids)
+                yield pa.record_batch([ids, *more, pa.array([len(s) for s in found], pa.int64()), pa.array(nodes.view(np.int64)), pa.array([_sketch(s) for s in found], pa.binary())], names)
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.mapInArrow(work, ", ".join(f"{n} {'binary' if n == 'sketch' else 'long'}" for n in names))
 
 
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -250,11 +254,12 @@ def _rest(large: DataFrame, labels: DataFrame, distances: DataFrame, percent: in
     return outside.join(inside, "region").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, row if there is one, n_shingles, node and label of every document; rows with words and one label are one component."""
     spark = ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in docs.columns if c == "row"])
     named = saved(members(docs, width))
+    docs = docs.select("doc_id", "text")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(1 + total * (101 - percent) // 100 // ENTRIES) if total else 1
     parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -289,7 +294,12 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         if pairs.limit(1).count():
             links = links.unionByName(measured(pairs, saved(sets(pairs))).filter(close))
     labels = components(links)
-    joined = named.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return named.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    joined = labelled(docs.select("doc_id", "text"), width, percent)
     least = joined.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     full = joined.join(least, "label", "left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -191,27 +191,46 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Network | None:
     return net
 
 
+def _judge(texts: pa.Array, net: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """The language and its probability of every text; 'und' and 0 without a letter or a network."""
+    letter = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+    names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+    if net is not None and len(texts):
+        data, offsets = _text.buffer(texts)
+        if len(data):
+            prob = net.pooled(data, offsets)
+            best = prob.argmax(1)
+            names[letter] = np.array(net.classes, object)[best[letter]]
+            scores[letter] = np.minimum(prob[np.arange(len(best)), best], 1.0)[letter]
+    return names, scores
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every document."""
     ready(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            letter = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
-            names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if net is not None and len(texts):
-                data, offsets = _text.buffer(batch.column(1))
-                if len(data):
-                    prob = net.pooled(data, offsets)
-                    best = prob.argmax(1)
-                    names[letter] = np.array(net.classes, object)[best[letter]]
-                    scores[letter] = np.minimum(prob[np.arange(len(best)), best], 1.0)[letter]
+            names, scores = _judge(batch.column(1), net)
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def tagged(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The document rows with a recognised language, which lang carries; all other columns as they are."""
+    ready(docs.sparkSession)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def work(batches):
+        for batch in batches:
+            names, _ = _judge(batch.column(text), net)
+            batch = batch.set_column(lang, batch.schema.field(lang), pa.array(names, batch.schema.field(lang).type))
+            yield batch.filter(pa.array(names != "und", pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def remainder(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
