@@ -54,6 +54,13 @@ def chunks(offsets: np.ndarray, limit: int = 4 << 20):
         lo = hi
 
 
+def portions(batches, column: int):
+    """Arrow batches cut to rows of about 4 MB of text each, so that no task holds a whole batch several times over."""
+    for batch in batches:
+        for lo, hi in chunks(buffer(batch.column(column))[1]):
+            yield batch.slice(lo, hi - lo)
+
+
 def spans(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True that do not cross rows, and each row's first run (one more entry than rows)."""
     n = len(word)

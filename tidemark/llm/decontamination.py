@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text
 from ._spark import ready, table
 
 WIDTH = 10
@@ -159,7 +160,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int =
 
     def work(batches):
         scanner_ = make()
-        frames = ({"text": b.column(column).to_pylist(), "batch": b} for b in batches)
+        frames = ({"text": b.column(column).to_pylist(), "batch": b} for b in _text.portions(batches, column))
         for group in _groups(frames, GROUP if len(scanner_.slices) > 1 else 0):
             rows = iter(scanner_.scan([t for f in group for t in f["text"]], False))
             for f in group:

@@ -223,7 +223,7 @@ def tagged(docs: DataFrame, net: Network | None) -> DataFrame:
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def work(batches):
-        for batch in batches:
+        for batch in _text.portions(batches, text):
             names, _ = _judge(batch.column(text), net)
             batch = batch.set_column(lang, batch.schema.field(lang), pa.array(names, batch.schema.field(lang).type))
             yield batch.filter(pa.array(names != "und", pa.bool_()))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text
 from ._spark import ready, table
 
 Query = list[list[list[str]]]
@@ -183,7 +184,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         scanner = Scanner()
-        for batch in batches:
+        for batch in _text.portions(batches, text):
             texts, counts = batch.column(text).to_pylist(), batch.column(n_chars).to_pylist()
             for i, spans in enumerate(scanner.scan([t or "" for t in texts])):
                 if spans:
