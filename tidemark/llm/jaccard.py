@@ -5,8 +5,9 @@ Equal sets become one node first. A region gathers the nodes that share a shingl
 plain nearest-pivot regions cannot be used at the top, since most sets are at distance 1 from every
 pivot and the triangle windows would then copy every document into every region. In each region a pivot
 is measured against all; what links to the pivot is one component and needs no pairs. Only nodes that
-stayed outside are measured against the rest in the next round, and of these only pairs that the
-triangle window |d(x, p) - d(y, p)| <= r and the sizes admit.
+stayed outside are measured against the rest in the next and last round, and of these only pairs that the
+triangle window |d(x, p) - d(y, p)| <= r and the sizes admit; a node without a measured distance is
+admitted, so that a region of many unrelated nodes is joined pair by pair. There is no recursion.
 
 Null and wordless texts have no set and are linked with nothing; shorter texts have one shingle;
 repeated rows of one id each get a row; an empty table gives an empty result.
