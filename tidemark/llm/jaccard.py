@@ -1,22 +1,27 @@
 """Exact Jaccard self-join of word-shingle sets in the metric space of Jaccard distance.
 
-Equal sets become one node first. A region gathers the nodes that share a shingle of their prefixes
-(rarest quarter of a set, so that any two sets at distance r = 1 - similarity or less meet in a region);
-plain nearest-pivot regions cannot be used at the top, since most sets are at distance 1 from every
-pivot and the triangle windows would then copy every document into every region. In each region a pivot
-is measured against all; what links to the pivot is one component and needs no pairs. Only nodes that
-stayed outside are measured against the rest in the next and last round, and of these only pairs that the
-triangle window |d(x, p) - d(y, p)| <= r and the sizes admit; a node without a measured distance is
-admitted, so that a region of many unrelated nodes is joined pair by pair. There is no recursion.
-
-Null and wordless texts have no set and are linked with nothing; shorter texts have one shingle;
-repeated rows of one id each get a row; an empty table gives an empty result.
+Equal sets become one node first. Most sets are at distance 1 from all others, where no pivot tells them
+apart, so nodes are grouped before: two sets at distance r = 1 - similarity or less share a shingle of their
+prefixes (rarest quarter of each, by counts over all documents), and sketches rule out by an exact bound
+most of what meets by chance. What still hangs together is a cell; each node is in one cell.
+
+A cell of more than LEAF nodes is split: pivots are picked by hash, every node is measured against all of
+them and belongs to the Voronoi region of the nearest. A node that links to a pivot is contracted with it.
+Two linked nodes that no contraction has united yet meet, since nodes outside the cell's greatest component
+are replicated into every region j with d(x, p_j) <= d(x, nearest) + 2r (triangle inequality). Regions of
+one component are done, large ones are split again, and regions that windows no longer shrink are cut into
+blocks of outside nodes against the rest. Cells of at most LEAF nodes are joined in one task, which
+compares only nodes of different components.
+
+Null and wordless texts have no set and are linked with nothing; shorter texts have one shingle; texts of
+any length take part whole; repeated rows of one id each get a row; a component of null ids alone has the
+null id; ties do not exist, since links are exact; an empty table gives an empty result; further columns
+are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +32,24 @@ from .blobs import bitmap, maybe
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-#: Regions of at most so many nodes compare all their pairs at once.
-SMALL = 3
-#: A shingle in so many sets is frequent and comes last in prefixes; the list of them is kept below MOST.
-FREQUENT, MOST = 32, 1_000_000
-#: Prefix entries to one region task.
-ENTRIES = 1_500_000
+#: Cells of at most so many nodes and shingles are joined in one task.
+LEAF, LEAF_SHINGLES = 1024, 2_000_000
+#: Pivots of a cell: one to so many nodes, within these bounds.
+TO_PIVOT, FEWEST, MOST_PIVOTS = 512, 8, 64
+#: Splits of a cell before what is left is cut into blocks.
+LEVELS = 4
+#: A shingle in so many sets is frequent and comes late in prefixes; at most MOST of them, the most frequent, are told to the tasks. No result depends on it.
+FREQUENT, MOST = 8, 1_000_000
+#: Entries of a shingle in so many sets are spread over all tasks.
+HOT = 4096
+#: Shingles or prefix entries to one task.
+ENTRIES = 4_000_000
 #: A sketch has one slice to two members, 2**LEAST_BITS to 2**MOST_BITS in all.
 LEAST_BITS, MOST_BITS = 4, 15
 #: Bytes of a shingle's hash that verification keeps.
 KEPT = 6
-#: Comparisons with one node that go to one task.
-SALT = 512
+#: Rows of one node are joined by so many tasks.
+SALTS = 8
 
 
 def _nodes(hashes: list[np.ndarray]) -> np.ndarray:
@@ -61,21 +72,17 @@ def _distinct(found: list[np.ndarray], nodes: np.ndarray) -> list[int]:
     return [i for i in first.tolist() if len(found[i])]
 
 
+def _bits(n: int) -> int:
+    return min(max(int(n - 1).bit_length() - 1, LEAST_BITS), MOST_BITS)
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """How many members fall into each slice of the hash space, up to 15, two counts to a byte; differences of two sketches are never more than the sets'."""
-    bits = min(max(int(len(s) - 1).bit_length() - 1, LEAST_BITS), MOST_BITS)
+    bits = _bits(len(s))
     count = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
     return (count[::2] | count[1::2] << 4).tobytes()
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the sets' symmetric difference; the finer sketch is folded to the coarser."""
-    x, y = (np.frombuffer(p, np.uint8) for p in (x, y))
-    x, y = (np.column_stack([p & 15, p >> 4]).ravel().astype(np.int64) for p in (x, y))
-    k = min(len(x), len(y))
-    return int(np.abs(x.reshape(k, -1).sum(1) - y.reshape(k, -1).sum(1)).sum())
-
-
 def _pack(s: np.ndarray) -> bytes:
     """The low KEPT bytes of each hash, sorted."""
     low = np.sort(s & np.uint64((1 << 8 * KEPT) - 1))
@@ -103,156 +110,334 @@ def members(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(work, ", ".join(f"{n} {'binary' if n == 'sketch' else 'long'}" for n in names))
 
 
-def frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of many sets, as counted where a chunk holds them more than once. They only order prefixes, so no result depends on them."""
+def _dealt(part: np.ndarray, *columns: np.ndarray):
+    """The parts that occur, and for each column the bytes of each part's values."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(cut[1:], len(part))
+    return part[cut], [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())] for x in (c[order] for c in columns)]
+
+
+def frequent(docs: DataFrame, width: int, bits: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles by their top 32 + bits bits, sorted, and how many sets hold each.
+
+    Every shingle of every set is counted, as 32 bits within one of 2**bits parts of the hash space.
+    """
 
     def work(batches):
         for batch in batches:
             for _, found, nodes in _sets(batch, width):
                 keep = _distinct(found, nodes)
                 if keep:
-                    h, n = np.unique(np.concatenate([found[i] for i in keep]), return_counts=True)
-                    yield pa.record_batch([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
-
-    counted = saved(docs.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT))
-    if counted.count() > MOST:
-        counted = counted.filter(F.col("n") > counted.approxQuantile("n", [1 - MOST / counted.count()], 0.001)[0])
-    return np.sort(counted.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-
-
-#: A part's shingles are told apart by 32 bits; two that fall together make one larger region.
-_ENTRY = np.dtype([("h", "<u4"), ("node", "<u8"), ("n", "<u4")])
-
-
-def regions(docs: DataFrame, width: int, percent: int, parts: int, known: np.ndarray) -> DataFrame:
-    """(region, pivot, nodes, sizes) of every prefix shingle that two or more nodes share; the pivot has the least mixed name, so that regions of one group agree on it."""
+                    h, n = np.unique(np.concatenate([found[i] for i in keep]) >> np.uint64(32 - bits), return_counts=True)
+                    part, low, once = (h >> np.uint64(32)).astype(np.int64), h.astype("<u4"), n == 1
+                    for some, counted in ((once, False), (~once, True)):
+                        parts, (keys, counts) = _dealt(part[some], low[some], n[some].astype("<u4"))
+                        yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts if counted else [None] * len(parts), pa.binary())], ["part", "keys", "counts"])
+
+    def gather(batches):
+        keys, counts = [], []
+        for b in batches:
+            for p, k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                k = np.frombuffer(k, "<u4").astype(np.int64) | p << 32
+                keys.append(k)
+                counts.append(np.ones(len(k), np.uint32) if n is None else np.frombuffer(n, "<u4"))
+        if keys:
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            keys.clear(), counts.clear()
+            order = np.argsort(k)
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.diff(k, prepend=-1))
+            n = np.add.reduceat(n.astype(np.int64), first)
+            yield pa.record_batch([pa.array(k[first][n >= FREQUENT]), pa.array(n[n >= FREQUENT])], ["h", "n"])
+
+    counted = saved(docs.mapInArrow(work, "part int, keys binary, counts binary").repartition(tasks, "part").mapInArrow(gather, "h long, n long"))
+    many = counted.count()
+    if many > MOST:
+        counted = counted.filter(F.col("n") > counted.approxQuantile("n", [1 - MOST / many], 0.001)[0])
+    got = counted.toPandas().sort_values("h")  # about MOST rows at most
+    return got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+
+
+_ENTRY = np.dtype([("h", "<u4"), ("node", "<u8")])
+
+
+def regions(docs: DataFrame, width: int, percent: int, bits: int, tasks: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(region, node) of every prefix shingle that two or more nodes share; regions of the same nodes are told once by each task."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def prefixes(batches):
-        last = shared.value
+        last, count = shared.value
         for batch in batches:
             for _, found, nodes in _sets(batch, width):
-                entries, full = [], []
-                for i in _distinct(found, nodes):
-                    s = found[i]
-                    k = len(s) - -(-percent * len(s) // 100) + 1
-                    if len(last):
-                        at = np.searchsorted(last, s)
-                        often = last[np.minimum(at, len(last) - 1)] == s
-                        if often.any():
-                            s = np.concatenate([s[~often], s[often]])
-                    e = np.empty(k, _ENTRY)
-                    e["h"], e["node"], e["n"] = s[:k] & np.uint64(0xFFFFFFFF), nodes[i], len(s)
-                    entries.append(e)
-                    full.append(s[:k])
-                if not entries:
+                keep = _distinct(found, nodes)
+                if not keep:
                     continue
-                e = np.concatenate(entries)
-                part = (_text.mix(np.concatenate(full)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                e, cut = e[order], np.searchsorted(part[order], np.arange(parts + 1))
-                rows = [(p, e[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "entries"])
-
-    def gather(frames):
-        held = [(p, np.frombuffer(b, _ENTRY)) for f in frames for p, b in zip(f["part"], f["entries"])]
+                h = np.concatenate([found[i] for i in keep]) >> np.uint64(32 - bits)
+                n = np.zeros(len(h), np.int64)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
+                    n = np.where(last[at] == h, count[at], 0)
+                picked, at = [], 0
+                for i in keep:
+                    size = len(found[i])
+                    k = size - -(-percent * size // 100) + 1
+                    order = np.argsort(n[at : at + size], kind="stable")[:k] if n[at : at + size].any() else np.arange(k)
+                    picked.append(order + at)
+                    at += size
+                of = np.repeat(nodes[keep], [len(x) for x in picked])
+                picked = np.concatenate(picked)
+                h, hot = h[picked], n[picked] >= HOT
+                e = np.empty(len(h), _ENTRY)
+                e["h"], e["node"] = h & np.uint64(0xFFFFFFFF), of
+                part = (h >> np.uint64(32)).astype(np.int64)
+                parts, (entries,) = _dealt(part[~hot], e[~hot])
+                yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(entries, pa.binary()), pa.array([False] * len(parts), pa.bool_())], ["part", "entries", "hot"])
+                pair = np.column_stack([h[hot], of[hot]])
+                parts, (entries,) = _dealt((_text.mix(pair[:, 1]) % np.uint64(1 << bits)).astype(np.int64), pair)
+                yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(entries, pa.binary()), pa.array([True] * len(parts), pa.bool_())], ["part", "entries", "hot"])
+
+    def rows(region, node):
+        return pa.record_batch([pa.array(region.astype(np.int64)), pa.array(node.view(np.int64))], ["region", "node"])
+
+    def gather(batches):
+        held, keys = [], []
+        for b in batches:
+            for p, e, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if hot:
+                    pair = np.frombuffer(e, "<u8").reshape(-1, 2)
+                    yield rows(pair[:, 0].copy(), pair[:, 1].copy())
+                else:
+                    e = np.frombuffer(e, _ENTRY)
+                    keys.append(e["h"].astype(np.int64) | p << 32)
+                    held.append(e["node"])
         if not held:
             return
-        e = np.concatenate([x for _, x in held])
-        h = np.repeat(np.array([p for p, _ in held], np.int64) << 32, [len(x) for _, x in held]) | e["h"]
-        held.clear()
-        order = np.argsort(h, kind="stable")
-        e, h = e[order], h[order]
-        new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-        size = np.diff(new, append=len(e))
-        rows, seen = [], set()
-        for a, k in zip(new[size > 1].tolist(), size[size > 1].tolist()):
-            nodes, first = np.unique(e["node"][a : a + k], return_index=True)
-            if len(nodes) > 1:
-                key = nodes.tobytes()
-                if key not in seen:  # neighbouring shingles of one passage have the same nodes
-                    seen.add(key)
-                    rows.append((int(h[a]), int(nodes[_text.mix(nodes).argmin()].view(np.int64)), nodes.view(np.int64).tolist(), e["n"][a : a + k][first].astype(int).tolist()))
-            if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=["region", "pivot", "nodes", "sizes"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["region", "pivot", "nodes", "sizes"])
-
-    dealt = docs.mapInArrow(prefixes, "part int, entries binary").repartition(parts, "part")
-    return dealt.mapInPandas(gather, "region long, pivot long, nodes array<long>, sizes array<long>")
-
-
-def paired(pairs: DataFrame, payload: DataFrame, work, schema: str) -> DataFrame:
-    """mapInPandas over (a, b, pa, pb): node pairs with both payloads (node, p). Nodes in many pairs are salted."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
-    left = payload.join(salts, payload.node == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("p").alias("pa"))
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = right.join(payload.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
-    return saved(right.join(left, ["a", "salt"]).select("a", "b", "pa", "pb").mapInPandas(work, schema))
-
-
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out; a true link is never ruled out."""
-
-    def work(frames):
-        for f in frames:
-            if len(f):
-                apart = np.array([_apart(x[12:], y[12:]) for x, y in zip(f["pa"], f["pb"])], np.int64)
-                n = sum(np.array([int(p[:12].strip(b"\0")) for p in f[c]], np.int64) for c in ("pa", "pb"))
-                yield f.loc[(n - apart) * (100 + percent) >= 2 * percent * n, ["a", "b"]]
-
-    return paired(saved(pairs.distinct()), sketches, work, "a long, b long")
-
-
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, total) of node pairs: the size of the intersection and the sum of both sizes."""
-
-    def work(frames):
-        for f in frames:
-            rows = []
-            for x, y in zip(f["pa"], f["pb"]):
-                x, y = _unpack(x), _unpack(y)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                rows.append((int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x) + len(y)))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "common": [r[0] for r in rows], "total": [r[1] for r in rows]}, columns=["a", "b", "common", "total"])
-
-    return paired(pairs, sets, work, "a long, b long, common long, total long")
-
-
-def _first_round(regions_: DataFrame, percent: int) -> DataFrame:
-    def work(frames):
-        for f in frames:
+        h, node = np.concatenate(keys), np.concatenate(held)
+        keys.clear(), held.clear()
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node = h[new], node[new]
+        first = np.flatnonzero(np.diff(h, prepend=-1))
+        size = np.diff(np.append(first, len(h)))
+        name = np.add.reduceat(_text.mix(node ^ np.uint64(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64)
+        _, once = np.unique(name, return_index=True)  # neighbouring shingles of one passage have the same nodes
+        use = np.zeros(len(first), bool)
+        use[once] = True
+        use &= size > 1
+        take = np.repeat(use, size)
+        yield rows(np.repeat(name, size)[take].view(np.int64), node[take])
+
+    dealt = docs.mapInArrow(prefixes, "part int, entries binary, hot boolean").repartition(tasks, "part")
+    return dealt.mapInArrow(gather, "region long, node long").distinct()
+
+
+def groups(batches, keys: int):
+    """(key, table) of every run of rows with equal first columns, for rows in their order."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy() for i in range(keys)]
+        cut = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+        for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+            this = tuple(int(c[lo]) for c in columns)
+            if held and this != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = this
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.stack([packed & 15, packed >> 4], 2).reshape(len(sketches), -1).astype(np.int16)
+
+
+def possible(sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of places that sketches do not rule out; no linked pair is ever ruled out."""
+    comp, out = np.arange(len(sizes)), []
+    bits = np.array([_bits(n) for n in sizes.tolist()])
+    for b in sorted(set(bits.tolist())):
+        own, finer = np.flatnonzero(bits == b), np.flatnonzero(bits == b + 1)
+        at = np.concatenate([own, finer])
+        counts = _counts([sketches[i] for i in own])
+        if len(finer):
+            counts = np.concatenate([counts, _counts([sketches[i] for i in finer]).reshape(len(finer), -1, 2).sum(2, dtype=np.int16)])
+        n = sizes[at]
+        for k in range(len(own)):
+            rest = at[k + 1 :]
+            if not (comp[rest] != comp[at[k]]).any():
+                continue
+            apart = np.maximum(np.abs(counts[k + 1 :] - counts[k]).sum(1, dtype=np.int64), np.abs(n[k + 1 :] - n[k]))
+            total = n[k + 1 :] + n[k]
+            for j in rest[(total - apart) * (100 + percent) >= 2 * percent * total]:
+                if comp[j] != comp[at[k]]:
+                    out.append((int(at[k]), int(j)))
+                    comp[comp == comp[j]] = comp[at[k]]
+    return out
+
+
+def hanging(met: DataFrame, outlines: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(a, b): links between nodes of a region that may be linked; nodes of a region of more than LEAF nodes all hang together."""
+    sizes = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"))
+    large = F.broadcast(sizes.filter(F.col("m") > LEAF))  # at most one to LEAF entries
+    whole = met.join(large, "region").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    def work(batches):
+        for _, t in groups(batches, 1):
+            node, n = t.column("node").to_pylist(), t.column("n").to_numpy()
+            yield _links([(node[i], node[j]) for i, j in possible(n, t.column("sketch").to_pylist(), percent)])
+
+    small = met.join(large, "region", "left_anti").join(outlines.select("node", "n", "sketch"), "node").select("region", "node", "n", "sketch")
+    return small.repartition(tasks, "region").sortWithinPartitions("region").mapInArrow(work, "a long, b long").unionByName(whole)
+
+
+def connected(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between places that unite all linked sets of different labels; only sets of different components are compared."""
+    size = np.array([len(s) for s in sets])
+    _, inv = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    _, comp = np.unique(labels, return_inverse=True)
+    mark, waits, out = np.zeros(inv.max() + 1, bool), np.ones(len(sets), bool), []
+    while True:
+        left = np.flatnonzero(waits)
+        many = np.bincount(comp[left]) if len(left) else np.zeros(0)
+        if np.count_nonzero(many) < 2:
+            return out
+        i = left[comp[left] != many.argmax()][0]
+        waits[i] = False
+        own = inv[first[i] : first[i] + size[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[inv].astype(np.int64), first)
+        mark[own] = False
+        for j in np.flatnonzero((100 * common >= percent * (size + size[i] - common)) & (comp != comp[i])):
+            if comp[j] != comp[i]:
+                out.append((int(i), int(j)))
+                comp[comp == comp[j]] = comp[i]
+
+
+def leaves(cells: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) of cells (cell, node, label, p) of bounded size."""
+
+    def work(batches):
+        for _, t in groups(batches, 1):
+            node = t.column("node").to_pylist()
+            if len(node) > 1:
+                yield _links([(node[i], node[j]) for i, j in connected([_unpack(p) for p in t.column("p").to_pylist()], t.column("label").to_numpy(), percent)])
+
+    rows = cells.select("cell", "node", "label", "p").repartition(tasks, "cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def measured(cells: DataFrame, level: int, percent: int, tasks: int) -> DataFrame:
+    """(cell, node, home, near, linked) of large cells (cell, node, p): the nearest pivot, those within the window, and those linked."""
+    luck = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
+    cells = cells.withColumn("luck", luck)
+    wanted = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / TO_PIVOT), F.lit(FEWEST)), F.lit(MOST_PIVOTS))
+    stats = cells.groupBy("cell").agg(F.greatest(wanted / F.count(F.lit(1)), F.min("luck")).alias("below"), F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("salts"))
+    cells = cells.join(F.broadcast(stats), "cell")  # large cells only: at most one row to LEAF nodes
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+    rows = cells.select("cell", salt, F.lit(1).alias("kind"), "node", "p")
+    pivots = cells.filter(F.col("luck") <= F.col("below")).select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "p")
+    r2 = 2 * (1 - percent / 100) + 1e-9
+
+    def work(batches):
+        for (cell, _), t in groups(batches, 2):
+            kind, node = t.column("kind").to_numpy(), t.column("node").to_numpy()
+            sets, k = [_unpack(p) for p in t.column("p").to_pylist()], int((kind == 0).sum())
+            data = np.concatenate(sets[:k])
+            of = np.repeat(np.arange(k), [len(s) for s in sets[:k]])
+            order = np.argsort(data, kind="stable")
+            data, of, size = data[order], of[order], np.array([len(s) for s in sets[:k]])
             out = []
-            for pivot, nodes, sizes in zip(f["pivot"], f["nodes"], f["sizes"]):
-                v, n = np.asarray(nodes), np.asarray(sizes)
-                heads = range(len(v)) if len(v) <= SMALL else np.flatnonzero(v == pivot)
-                for i in heads:
-                    ok = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (v != v[i])
-                    if len(v) <= SMALL:
-                        ok &= v > v[i]
-                    out.append(np.column_stack([np.full(ok.sum(), v[i]), v[ok]]))
-            yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"]).drop_duplicates()
-
-    return regions_.mapInPandas(work, "a long, b long")
-
-
-def _rest(large: DataFrame, labels: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a region that lie in different components: nodes outside its greatest component against those the windows admit."""
-    items = large.select("region", "pivot", F.explode(F.arrays_zip("nodes", "sizes")).alias("m"))
-    items = items.select("region", "pivot", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"))
-    items = items.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    gone = distances.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-    items = items.join(gone, ["pivot", "node"], "left")
-    sizes = items.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k"))
-    top = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    items = saved(items.join(top, "region"))
-    outside = items.filter("label <> top").select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("d").alias("da"))
-    inside = items.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("d").alias("db"))
-    r = 1 - percent / 100 + 1e-9
-    near = (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= r))
-    return outside.join(inside, "region").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            for x, s in zip(node[k:].tolist(), sets[k:]):
+                lo, hi = np.searchsorted(data, s), np.searchsorted(data, s, "right")
+                many = hi - lo
+                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                common = np.bincount(of[at], minlength=k)
+                d = 1 - common / (size + len(s) - common)
+                home = int(d.argmin())
+                linked = 100 * common >= percent * (size + len(s) - common)
+                out.append((cell, x, int(node[home]), node[:k][d <= d[home] + r2].tolist(), node[:k][linked & (node[:k] != x)].tolist()))
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+            yield pa.record_batch([pa.array(c, y) for c, y in zip(zip(*out) if out else [[]] * 5, types)], ["cell", "node", "home", "near", "linked"])
+
+    dealt = rows.unionByName(pivots).repartition(tasks, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+    return dealt.mapInArrow(work, "cell long, node long, home long, near array<long>, linked array<long>")
+
+
+def _sized(cells: DataFrame) -> DataFrame:
+    """Cells (cell, node, label, n, ...) with m, shingles and whether they have more than one label; single-label cells are gone."""
+    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), (F.min("label") < F.max("label")).alias("several"))
+    large = (F.col("m") > LEAF) | (F.col("shingles") > LEAF_SHINGLES)
+    return stats.filter("several").select("cell", "m", large.alias("large"))
+
+
+def _labelled(cells: DataFrame, links: DataFrame) -> DataFrame:
+    labels = components(links)
+    return cells.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _blocks(cells: DataFrame, stats: DataFrame) -> DataFrame:
+    """Cells cut into blocks in which every node outside the greatest component meets all others."""
+    size = LEAF // 2
+    per = F.broadcast(stats.select("cell"))
+    cells = cells.join(per, "cell")
+    labels = cells.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    tops = labels.groupBy("cell").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("core"), F.sum("k").alias("m"), F.sum("s").alias("s"))
+    weight = F.greatest(F.lit(1.0), F.col("s") / F.col("m") * LEAF / LEAF_SHINGLES)  # blocks of long sets have fewer
+    tops = tops.select("cell", "top", F.ceil(F.col("core") * weight / size).cast("int").alias("bc"), F.ceil((F.col("m") - F.col("core")) * weight / size).cast("int").alias("bn"))
+    cells = cells.join(F.broadcast(tops), "cell")
+    inside = F.col("label") == F.col("top")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.when(inside, F.col("bc")).otherwise(F.col("bn"))).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    cells = cells.withColumn("own", own)
+    core = F.transform(each(F.col("bn")), lambda j: F.struct(F.lit(0).alias("t"), F.col("own").alias("i"), j.alias("j")))
+    met = F.transform(each(F.col("bc")), lambda i: F.struct(F.lit(0).alias("t"), i.alias("i"), F.col("own").alias("j")))
+    among = F.transform(each(F.col("bn")), lambda j: F.struct(F.lit(1).alias("t"), F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    where = F.when(inside, core).otherwise(F.concat(met, among))
+    cells = cells.select("cell", "node", "label", "n", F.explode(where).alias("w"))
+    return cells.select(F.xxhash64("cell", "w.t", "w.i", "w.j").alias("cell"), "node", "label", "n")
+
+
+def joined(cells: DataFrame, payload: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) that unite all linked nodes of cells (cell, node, n); payload has each node's set."""
+    cells, links = cells.withColumn("label", F.col("node")), None
+    for level in range(LEVELS):
+        stats = saved(_sized(cells))
+        small = cells.join(stats.filter("not large").select("cell"), "cell", "left_semi")
+        found = saved(leaves(small.join(payload, "node"), percent, tasks))
+        links = found if links is None else links.unionByName(found)
+        large = stats.filter("large")
+        if not large.limit(1).count():
+            return links
+        cells = saved(cells.join(F.broadcast(large.select("cell", F.col("m").alias("before"))), "cell"))
+        apart = saved(measured(cells.join(payload, "node").select("cell", "node", "p"), level, percent, tasks))
+        links = links.unionByName(apart.select(F.col("node").alias("a"), F.explode("linked").alias("b")))
+        cells = saved(_labelled(cells.join(apart.drop("linked"), ["cell", "node"]), links))
+        tops = cells.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
+        cells = cells.join(F.broadcast(tops), "cell")
+        where = F.when(F.col("label") == F.col("top"), F.array("home")).otherwise(F.col("near"))
+        children = cells.select("node", "n", "label", "before", "cell", F.explode(where).alias("pivot"))
+        children = saved(children.select(F.xxhash64("cell", "pivot").alias("child"), "cell", "node", "n", "label", "before"))
+        parents = cells.select("cell", "node", "n", "label", "before")
+        grown = children.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("m"), F.first("before").alias("before")).groupBy("cell").agg((F.max("m") > 0.7 * F.max("before")).alias("stuck"))
+        stuck = saved(grown.filter("stuck")) if level < LEVELS - 1 else saved(grown)
+        blocks = _blocks(parents, stuck)
+        found = saved(leaves(blocks.join(saved(_sized(blocks)).select("cell"), "cell", "left_semi").join(payload, "node"), percent, tasks))
+        links = links.unionByName(found)
+        cells = saved(_labelled(children.join(F.broadcast(stuck), "cell", "left_anti").drop("cell", "before").withColumnRenamed("child", "cell"), links))
+    return links
 
 
 def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -261,48 +446,37 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in docs.columns if c == "row"])
     named = saved(members(docs, width))
     docs = docs.select("doc_id", "text")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(1 + total * (101 - percent) // 100 // ENTRIES) if total else 1
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = saved(regions(docs, width, percent, parts, frequent(docs, width)))
-    sizes = F.lpad(F.encode(F.col("n_shingles").cast("string"), "UTF-8"), 12, F.lit(b"\x00"))
-    sketches = saved(named.filter("n_shingles > 0").groupBy("node").agg(F.first(F.concat(sizes, "sketch")).alias("p"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("holder")))
-
-    def sets(pairs):
-        """(node, p): the packed set of every node in pairs, as its least document holds it."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = saved(sketches.join(wanted, "node", "left_semi").select(F.col("node").bitwiseXOR(F.shiftleft("holder", 37)).alias("key"), "node"))
-        filter_ = spark.sparkContext.broadcast(bitmap(wanted, wanted.count()))
-
-        def emit(batches):
-            for batch in batches:
-                for ids, found, nodes in _sets(batch, width):
-                    key = nodes ^ (ids.fill_null(-1).to_numpy().astype(np.uint64) << np.uint64(37))
-                    use = np.flatnonzero(maybe(key, filter_.value))
-                    rows = [i for i in use.tolist() if len(found[i])]
-                    yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([_pack(found[i]) for i in rows], pa.binary())], ["node", "p"])
-
-        return docs.mapInArrow(emit, "node long, p binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-    close = 100 * F.col("common") >= percent * (F.col("total") - F.col("common"))
-    outlines = sketches.select("node", "p")
-    pairs = possible(_first_round(met, percent), outlines, percent)
-    first = measured(pairs, saved(sets(pairs)))
-    links = first.filter(close)
-    large = met.filter(F.size("nodes") > SMALL)
-    if large.limit(1).count():
-        pairs = possible(_rest(large, components(links), first, percent), outlines, percent)
-        if pairs.limit(1).count():
-            links = links.unionByName(measured(pairs, saved(sets(pairs))).filter(close))
-    labels = components(links)
-    return named.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tasks = max(least, int(1 + total // ENTRIES))
+    bits = min(max(int(8 * tasks - 1).bit_length(), 4), 24)
+    outlines = named.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("holder"))
+    outlines = saved(outlines)
+    met = saved(regions(docs, width, percent, bits, tasks, frequent(docs, width, bits, tasks)))
+    cells = components(hanging(met, outlines, percent, least))
+    cells = saved(cells.join(outlines.select("node", "n", "holder"), "node").select(F.col("label").alias("cell"), "node", "n", F.col("node").bitwiseXOR(F.shiftleft("holder", 37)).alias("key")))
+    filter_ = spark.sparkContext.broadcast(bitmap(cells.select("key"), cells.count()))
+
+    def emit(batches):
+        for batch in batches:
+            for ids, found, nodes in _sets(batch, width):
+                key = nodes ^ (ids.fill_null(-1).to_numpy().astype(np.uint64) << np.uint64(37))
+                use = maybe(key, filter_.value)
+                rows = [i for i in _distinct(found, nodes) if use[i]] if use.any() else []
+                yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([_pack(found[i]) for i in rows], pa.binary())], ["node", "p"])
+
+    payload = docs.mapInArrow(emit, "node long, p binary").join(cells.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    links = joined(cells.drop("key"), saved(payload), percent, least)
+    salted = components(links).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = named.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return named.join(salted, ["node", "salt"], "left").withColumn("label", F.coalesce("label", "node")).drop("salt")
 
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    joined = labelled(docs.select("doc_id", "text"), width, percent)
-    least = joined.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    full = joined.join(least, "label", "left")
+    full = saved(labelled(docs.select("doc_id", "text"), width, percent))
+    least = full.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"], "left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
