@@ -61,7 +61,7 @@ def _sets(batch, width: int):
     """Chunks of (doc_ids, sets, nodes) of an Arrow batch of (doc_id, text)."""
     ids = batch.column(0)
     data, offsets = _text.buffer(batch.column(1))
-    for lo, hi in _text.chunks(offsets, 16 << 20):
+    for lo, hi in _text.chunks(offsets, 5 << 20):
         h, first = _text.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         found = _text.shingles(h, first, width)
         yield ids[lo:hi], found, _nodes(found)
