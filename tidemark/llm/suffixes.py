@@ -1,13 +1,16 @@
 """Removal of passages that another document with a smaller id holds, found with suffix arrays.
 
 Every run of `length` bytes is named by the least hash of its inner grams, so that equal runs, wherever they
-are, go to one shard. Runs whose name occurs once in the corpus cannot repeat and are dropped before any
-text is shipped. Each shard sorts the suffixes of its distinct segments by Larsson-Sadakane refinement and
-finds, from common prefixes of neighbours, the least document of each run. Shards share no runs, so their
-arrays need no merging.
+are, have one name. Neighbouring runs of one name are a segment. Names of one document are dropped before
+anything is shipped. Segments are compared by 64-bit hashes first: where all segments of a name are equal,
+their least document decides. Only of names with several contents one copy of each content is shipped to the
+name's shard, which sorts the suffixes by Larsson-Sadakane refinement and finds, from common prefixes of
+neighbours, the least document of each run. Shards share no runs, so their arrays need no merging.
 
-Null texts count as empty; texts shorter than a run keep all bytes; copies under one id do not remove each
-other; repeated rows each get a row; an empty table gives an empty result.
+Null texts count as empty; texts shorter than a run keep all bytes, longer ones are judged whole; copies
+under one id do not remove each other; of several texts of one id each has its own result; repeated rows
+each get a row; rows of a null id are left as they are and remove nothing; an empty table gives an empty
+result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +27,19 @@ from ._spark import ready, saved, table
 from .blobs import bitmap, maybe
 
 LENGTH, GRAM = 50, 24
-#: A shard sorts its segments in so many slices, one after the other; each name belongs to one slice.
-SLICES = 32
+#: Bytes of text read at a time, and of segments sorted at once (more only if one name has more).
+CHUNK, BLOCK = 2 << 20, 2 << 20
+#: Text to one task.
+PART = 64 << 20
+#: Places of a segment in one join task; segments with more are salted.
+HOT = 4096
 
 
-def names(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each byte the name of the run that starts there; 0 where a run would leave its text."""
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, end, name, hash of the segment) of every segment: neighbouring runs of one name in one text."""
     n, k = len(data), length - GRAM + 1
-    out = np.zeros(n, np.uint64)
     if n < length:
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = _text._power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_text._BYTES[data] * up[:n], out=sums[1:])
@@ -45,11 +50,32 @@ def names(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.nda
         width *= 2
     if width < k:
         h = np.minimum(h[: len(h) - (k - width)], h[k - width :])
-    out[: len(h)] = h | np.uint64(1)
+    h |= np.uint64(1)
     size = np.diff(offsets)
-    room = np.repeat(offsets[1:], size) - np.arange(n)
-    out[room < length] = 0
-    return out
+    room = np.repeat(offsets[1:], size)[: len(h)] - np.arange(len(h))
+    h[room < length] = 0  # no run crosses a text's end, so equal names in neighbouring texts are apart
+    cut = np.flatnonzero(np.diff(h, prepend=np.uint64(0), append=np.uint64(0)))
+    a, b = cut[:-1], cut[1:]
+    real = h[a] != 0 if len(a) else np.zeros(0, bool)
+    a, b = a[real], b[real]
+    return a, b, h[a], _text.mix((sums[b + length - 1] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+
+
+def _chunks(batch, length: int):
+    """(ids, keys, data, offsets, segments) of an Arrow batch of (doc_id, text, key), ids not null."""
+    data, offsets = _text.buffer(batch.column(1))
+    ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    for lo, hi in _text.chunks(offsets, CHUNK):
+        d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        yield ids[lo:hi], keys[lo:hi], d, o, runs(d, o, length)
+
+
+def _dealt(part: np.ndarray, *columns: np.ndarray):
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(cut[1:], len(part))
+    return part[cut], [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())] for x in (c[order] for c in columns)]
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +114,8 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def least_owner(segments: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment the least owner over all segments of the run at each of its places."""
+def least_owner(segments: list[bytes], owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, end, least): for each segment its stretches of places whose runs have the same least owner over all segments."""
     data = np.frombuffer(b"".join(segments), np.uint8)
     size = np.array([len(s) for s in segments])
     ends = np.cumsum(size)
@@ -102,105 +128,161 @@ def least_owner(segments: list[bytes], owner: np.ndarray, length: int = LENGTH)
     group = np.concatenate([[0], np.cumsum(~equal)])
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, owner[of[order]])
+    place = np.sort(order)
     out = np.zeros(len(data), np.int64)
     out[order] = least[group]
-    return [out[b - s : b - length + 1] for s, b in zip(size, ends)]
+    value = out[place]
+    new = np.ones(len(place), bool)
+    new[1:] = (value[1:] != value[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place)) - 1
+    begin = (ends - size)[of[place[first]]]
+    return of[place[first]], place[first] - begin, place[last] + 1 - begin, value[first]
+
+
+_SEEN = np.dtype([("name", "<u8"), ("segment", "<u8"), ("least", "<i8"), ("greatest", "<i8"), ("n", "<i8")])
+
+
+def _united(e: np.ndarray) -> np.ndarray:
+    """One row for each name and segment, sorted."""
+    e = e[np.lexsort((e["segment"], e["name"]))]
+    first = np.flatnonzero(np.concatenate([[True], (e["name"][1:] != e["name"][:-1]) | (e["segment"][1:] != e["segment"][:-1])]))
+    out = e[first].copy()
+    out["least"], out["greatest"], out["n"] = (f.reduceat(e[c], first) for f, c in ((np.minimum, "least"), (np.maximum, "greatest"), (np.add, "n")))
+    return out
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, end) of bytes covered by runs that also start in a document with a smaller id."""
+    """(doc_id, key, start, end) of bytes covered by runs that also start in a document with a smaller id; of docs (doc_id, text, key) without null ids."""
     spark = ready(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (16 << 20))
-
-    def runs(batch):
-        """Chunks of (ids, data, offsets, run starts, run ends, names): neighbouring places of one name."""
-        data, offsets = _text.buffer(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi in _text.chunks(offsets, 4 << 20):
-            d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            name = names(d, o, length)
-            cut = np.flatnonzero(np.diff(name, prepend=np.uint64(0), append=np.uint64(0)))
-            a, b = cut[:-1], cut[1:]
-            real = name[a] != 0 if len(a) else np.zeros(0, bool)
-            a, b = a[real], b[real]
-            # equal names in neighbouring texts are apart, since no run crosses a text's end
-            yield ids[lo:hi], d, o, a, b, name[a]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART)
+    bits = min(max(int(8 * tasks - 1).bit_length(), 4), 24)
 
     def count(batches):
         for batch in batches:
-            for _, _, o, a, _, name in runs(batch):
-                doc = np.searchsorted(o, a, "right")
-                order = np.lexsort((doc, name))
-                k, d = name[order], doc[order]
-                new = np.ones(len(k), bool)
-                new[1:] = k[1:] != k[:-1]
-                first = np.flatnonzero(new)
-                if not len(first):
+            for ids, _, _, o, (a, _, name, _) in _chunks(batch, length):
+                if not len(a):
                     continue
-                last = np.append(first[1:], len(k)) - 1
-                many = d[first] != d[last]
-                key = k[first]
-                part = (_text.mix(key) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[by], np.arange(parts + 1))
-                rows = [(p, key[by[x:y]].tobytes(), key[by[x:y]][many[by[x:y]]].tobytes()) for p, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "once", "more"])
-
-    def often(frames):
-        held = [np.frombuffer(b, "<u8") for f in frames for c in ("once", "more") for b in f[c]]
+                doc = ids[np.searchsorted(o, a, "right") - 1]
+                order = np.argsort(name, kind="stable")
+                k, d = name[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                many = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+                key = k[first] >> np.uint64(32 - bits)
+                for some, more in ((~many, False), (many, True)):
+                    parts, (low,) = _dealt((key[some] >> np.uint64(32)).astype(np.int64), key[some].astype("<u4"))
+                    yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(low, pa.binary()), pa.array([more] * len(parts), pa.bool_())], ["part", "names", "more"])
+
+    def often(batches):
+        held = []
+        for b in batches:
+            for p, k, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                held += [np.frombuffer(k, "<u4").astype(np.int64) | p << 32] * (1 + more)
         if held:
             k = np.sort(np.concatenate(held))
             k = np.unique(k[1:][k[1:] == k[:-1]])
-            yield pd.DataFrame({"name": k.view(np.int64)})
+            yield pa.record_batch([pa.array(k.astype(np.uint64) << np.uint64(32 - bits)).view(pa.int64())], ["name"])
 
-    named = saved(docs.mapInArrow(count, "part int, once binary, more binary").repartition(parts, "part").mapInPandas(often, "name long"))
-    filter_ = spark.sparkContext.broadcast(bitmap(named, named.count()))
+    named = saved(docs.mapInArrow(count, "part int, names binary, more boolean").repartition(tasks, "part").mapInArrow(often, "name long"))
+    repeated = spark.sparkContext.broadcast(bitmap(named, named.count()))
 
-    def segments(batches):
+    def occurring(batches):
         for batch in batches:
-            for ids, d, o, a, b, name in runs(batch):
-                use = maybe(name, filter_.value)
-                a, b, name = a[use], b[use], name[use]
-                doc = np.searchsorted(o, a, "right") - 1
-                raw, held = d.tobytes(), {}
-                places = np.column_stack([ids[doc], a - o[doc]]).astype(np.int64)
-                for n, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-                    held.setdefault(raw[x : y + length - 1], []).append(n)
-                one = np.array([w[0] for w in held.values()], np.int64)
-                h = _text.mix(name[one])
-                where = [places[w].tobytes() for w in held.values()]
-                part, slice_ = (h % np.uint64(parts)).astype(np.int32), ((h >> np.uint64(40)) % np.uint64(SLICES)).astype(np.int32)
-                yield pa.record_batch([pa.array(part), pa.array(slice_), pa.array(list(held), pa.binary()), pa.array(where, pa.binary())], ["part", "slice", "segment", "places"])
-
-    def decided(held: dict[bytes, list]) -> pd.DataFrame:
-        places = [np.frombuffer(b"".join(w), np.int64).reshape(-1, 2) for w in held.values()]
-        least = least_owner(list(held), np.array([w[:, 0].min() for w in places]), length)
-        doc, start, end = [], [], []
-        for w, m in zip(places, least):
-            cut = np.flatnonzero(np.diff(m)) + 1
-            for x, y in zip([0, *cut], [*cut, len(m)]):
-                late = w[w[:, 0] > m[x]]
-                doc.append(late[:, 0])
-                start.append(late[:, 1] + x)
-                end.append(late[:, 1] + y + length - 1)
-        return pd.DataFrame({"doc_id": np.concatenate(doc), "start": np.concatenate(start), "end": np.concatenate(end)})
-
-    def judge(frames):
-        held: dict[bytes, list] = {}
-        current = None
-        for f in frames:
-            for k, s, w in zip(f["slice"], f["segment"], f["places"]):
-                if k != current and held:
-                    yield decided(held)
-                    held = {}
-                current = k
-                held.setdefault(s, []).append(w)
+            for ids, _, _, o, (a, _, name, segment) in _chunks(batch, length):
+                use = maybe(name, repeated.value)
+                if use.any():
+                    e = np.empty(int(use.sum()), _SEEN)
+                    e["name"], e["segment"], e["n"] = name[use], segment[use], 1
+                    e["least"] = e["greatest"] = ids[np.searchsorted(o, a[use], "right") - 1]
+                    e = _united(e)
+                    parts, (rows,) = _dealt((e["name"] >> np.uint64(64 - bits)).astype(np.int64), e)
+                    yield pa.record_batch([pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], ["part", "rows"])
+
+    def decide(batches):
+        held = [np.frombuffer(r, _SEEN) for b in batches for r in b.column(1).to_pylist()]
         if held:
-            yield decided(held)
+            e = _united(np.concatenate(held))
+            held.clear()
+            _, of, many = np.unique(e["name"], return_inverse=True, return_counts=True)
+            sole = many[of] == 1
+            top = np.zeros(len(many), np.int64)
+            top[:] = np.iinfo(np.int64).min
+            low = np.full(len(many), np.iinfo(np.int64).max)
+            np.maximum.at(top, of, e["greatest"])
+            np.minimum.at(low, of, e["least"])
+            use = (low < top)[of]  # all else occurs in one document only
+            e, sole = e[use], sole[use]
+            columns = [pa.array(e[c].astype("<u8")).view(pa.int64()) if c in ("name", "segment") else pa.array(e[c].astype(np.int64)) for c in _SEEN.names]
+            yield pa.record_batch([*columns, pa.array(sole)], [*_SEEN.names, "sole"])
+
+    seen = docs.mapInArrow(occurring, "part int, rows binary").repartition(tasks, "part")
+    seen = saved(seen.mapInArrow(decide, "name long, segment long, least long, greatest long, n long, sole boolean"))
+    wanted = seen.filter("not sole").select("segment", "name", "least", "greatest")
+    holder = saved(wanted.select(F.col("segment").bitwiseXOR(F.shiftleft("least", 24)).alias("key")))
+    held_by = spark.sparkContext.broadcast(bitmap(holder, holder.count()))
+
+    def contents(batches):
+        for batch in batches:
+            for ids, _, d, o, (a, b, name, segment) in _chunks(batch, length):
+                doc = ids[np.searchsorted(o, a, "right") - 1] if len(a) else np.zeros(0, np.int64)
+                use = np.flatnonzero(maybe(name, repeated.value) & maybe(segment ^ (doc.astype(np.uint64) << np.uint64(24)), held_by.value))
+                _, once = np.unique(segment[use], return_index=True)
+                use = use[once]
+                raw = d.tobytes()
+                body = [raw[x : y + length - 1] for x, y in zip(a[use].tolist(), b[use].tolist())]
+                yield pa.record_batch([pa.array(segment[use]).view(pa.int64()), pa.array(body, pa.binary())], ["segment", "body"])
 
-    dealt = docs.mapInArrow(segments, "part int, slice int, segment binary, places binary").repartition(parts, "part").sortWithinPartitions("slice")
-    return dealt.mapInPandas(judge, "doc_id long, start long, end long")
+    def judge(batches):
+        def decided(rows):
+            of, first, end, least = least_owner([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), length)
+            use = least < np.array([r[3] for r in rows], np.int64)[of]  # for the others there is no later document
+            segment = np.array([r[0] for r in rows], np.int64)[of]
+            return pa.record_batch([pa.array(c[use], pa.int64()) for c in (segment, first, end, least)], ["segment", "first", "last", "least"])
+
+        rows, size, current = [], 0, None
+        for b in batches:
+            for name, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if name != current and size >= BLOCK:
+                    yield decided(rows)
+                    rows, size = [], 0
+                current = name
+                rows.append(row)
+                size += len(row[1])
+        if rows:
+            yield decided(rows)
+
+    shipped = docs.mapInArrow(contents, "segment long, body binary").join(wanted, "segment").dropDuplicates(["segment"])
+    shipped = shipped.select("name", "segment", "body", "least", "greatest").repartition(tasks, "name").sortWithinPartitions("name")
+    mixed = shipped.mapInArrow(judge, "segment long, first long, last long, least long")
+    alone = seen.filter("sole and least < greatest").select("segment", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
+    found = saved(mixed.unionByName(alone))
+    chosen = saved(found.select("segment").distinct())
+    late = spark.sparkContext.broadcast(bitmap(chosen, chosen.count()))
+    hot = seen.filter(F.col("n") >= HOT).select("segment", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    salts = {r[0]: r[1] for r in hot.collect()}  # at most one to HOT segments that the corpus holds, a few for each common passage
+    hot_keys = np.sort(np.array(list(salts), np.int64))
+    hot_all = spark.sparkContext.broadcast((hot_keys, np.array([salts[k] for k in hot_keys.tolist()], np.int64)))
+
+    def places(batches):
+        keys, many = hot_all.value
+        for batch in batches:
+            for ids, texts, _, o, (a, b, name, segment) in _chunks(batch, length):
+                use = maybe(name, repeated.value) & maybe(segment, late.value)
+                a, b, segment = a[use], b[use], segment[use].view(np.int64)
+                doc = np.searchsorted(o, a, "right") - 1
+                salt = np.zeros(len(a), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, segment), len(keys) - 1)
+                    salt = np.where(keys[at] == segment, ids[doc] % many[at], 0)
+                columns = (segment, salt, ids[doc], texts[doc], a - o[doc], b - a)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["segment", "salt", "doc_id", "key", "at", "n"])
+
+    where = docs.mapInArrow(places, "segment long, salt long, doc_id long, key long, at long, n long")
+    found = found.join(F.broadcast(hot), "segment", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
+    both = where.join(found, ["segment", "salt"]).filter("least < doc_id")
+    last = F.when(F.col("last") < 0, F.col("n")).otherwise(F.col("last"))
+    return both.select("doc_id", "key", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + last + (length - 1)).alias("end"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -208,28 +290,32 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeats(docs.filter("doc_id is not null"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-    def cut(frames):
-        for f in frames:
-            rows = []
-            for doc, text, spans in zip(f["doc_id"], f["text"], f["spans"]):
-                raw = text.encode("utf-8", "surrogatepass")
-                kept, at, removed, n = [], 0, 0, 0
-                end = -1
-                for a, b in sorted((s["start"], s["end"]) for s in spans) if spans is not None else ():
-                    if a > end:
-                        kept.append(raw[at:a])
-                        n += 1
-                        end = a
-                    if b > end:
-                        removed += b - end
-                        at = end = b
-                body = b"".join([*kept, raw[at:]])
-                rows.append((doc, len(raw), removed, n, hashlib.sha256(body).hexdigest(), body))
-            yield pd.DataFrame(rows, columns=RESULT.replace(",", "").split()[::2]).astype({"doc_id": "Int64"})
-
-    return docs.join(found, "doc_id", "left").mapInPandas(cut, RESULT)
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    found = repeats(docs.filter("doc_id is not null"), length).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = _text.buffer(batch.column(1))
+            spans = batch.column(2)
+            for lo, hi in _text.chunks(offsets):
+                rows = []
+                for i in range(lo, hi):
+                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                    kept, at, removed, n, end = [], 0, 0, 0, -1
+                    for a, b in sorted((s["start"], s["end"]) for s in spans[i].as_py() or ()):
+                        if a > end:
+                            kept.append(raw[at:a])
+                            n += 1
+                            end = a
+                        if b > end:
+                            removed += b - end
+                            at = end = b
+                    body = b"".join([*kept, raw[at:]])
+                    rows.append((len(raw), removed, n, hashlib.sha256(body).hexdigest(), body))
+                types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], RESULT.replace(",", "").split()[::2])
+
+    return docs.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "spans").mapInArrow(cut, RESULT)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
