@@ -6,14 +6,14 @@ normalised once, scanned once, and hits are mapped back to words and to code poi
 
 Null and wordless texts have no words and are clean; null and wordless items have no patterns; equal
 patterns of several items count for each of them; an empty benchmark leaves all documents clean.
-Repeated document rows each get a row.
+Repeated document rows and null ids each get a row; texts of any length are scanned whole; further columns
+are left out of scans and kept by `clean`.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,20 +138,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, code_points:
     """
     make = scanner(benchmark, width, most)
 
-    def work(frames):
+    def work(batches):
         scanner_ = make()
+        pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pair)]
+        frames = ({"text": b.column(1).to_pylist(), "batch": b} for b in _text.portions(batches, 1))
         for group in _groups(frames, GROUP if len(scanner_.slices) > 1 else 0):
-            for f, rows in zip(group, _split(scanner_.scan([t for f in group for t in f["text"]], code_points), group)):
-                yield pd.DataFrame([(d, *r) for d, r in zip(f["doc_id"], rows)], columns=["doc_id", "n_words", "hit_words", "items", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, HITS)
-
+            rows = iter(scanner_.scan([t for f in group for t in f["text"]], code_points))
+            for f in group:
+                found = [(n, h, i, [{"start": a, "end": b} for a, b in s]) for n, h, i, s in (next(rows) for _ in f["text"])]
+                yield pa.record_batch([f["batch"].column(0), *(pa.array(c, t) for c, t in zip(zip(*found), types))], ["doc_id", "n_words", "hit_words", "items", "spans"])
 
-def _split(rows: list, group: list):
-    at = 0
-    for f in group:
-        yield rows[at : at + len(f)]
-        at += len(f)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST_PATTERNS) -> DataFrame:

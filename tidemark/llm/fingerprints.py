@@ -5,6 +5,9 @@ its least hash. Empty bins copy a filled one that a random probe sequence of the
 densification). Only the low bits of each bin are stored; likeness subtracts chance agreement.
 
 Null and wordless texts have the empty fingerprint: like each other (1.0), unlike all else (0.0).
+Texts of any length take part whole. Repeated rows each get a row and follow one another; rows of one id are
+ordered by a hash of the text; rows of a null id come last. A single row is followed by itself. An empty
+table gives an empty result. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,10 +94,9 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text edited with the next document, and their likenesses."""
 
-    def work(frames):
+    def work(batches):
         held = None
-        for f in frames:
-            rows = list(zip(f["doc_id"], f["text"], f["stretch"], f["lent"]))
+        for rows in (list(zip(*(c.to_pylist() for c in part.columns))) for part in _text.portions(batches, 1)):
             if held is not None:
                 rows.insert(0, held)
             out = []
@@ -106,11 +107,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 for (i, text), other in zip(pairs, signatures([t for _, t in pairs])):
                     out.append((part[i][0], len(part[i][1]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), own[i].tobytes().hex(), other.tobytes().hex(), likeness(own[i], other), likeness(own[i], own[i + 1])))
             held = rows[-1] if rows else held
-            frame = pd.DataFrame(out, columns=RESULT.replace(",", "").split()[::2])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], RESULT.replace(",", "").split()[::2])
 
-    return neighbours(docs).select("doc_id", "text", "stretch", "lent").mapInPandas(work, RESULT)
+    return neighbours(docs).select("doc_id", "text", "stretch", "lent").mapInArrow(work, RESULT)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

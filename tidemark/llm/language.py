@@ -6,7 +6,9 @@ piecewise linear and candidates softsign, which cost far less than exponentials.
 probabilities over the document.
 
 A text that is null or has no letter is `und` with score 0; rows without a language teach nothing;
-without any labelled row every text is `und`. Repeated rows each get a row.
+without any labelled row every text is `und`. Repeated rows and null ids each get a row; texts of any length
+are read whole; of equally probable languages the first by name is taken; an empty table gives an empty
+result; further columns are left out by `identify` and kept by `tagged`.
 """
 
 from __future__ import annotations

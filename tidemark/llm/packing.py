@@ -6,7 +6,9 @@ its length. The plan: pieces above a third of the capacity are matched greedily,
 sequence; smaller ones, longest first, go to the tightest gap.
 
 Null text counts as empty and an empty text packs as its end token alone. Repeated rows and ids are
-separate documents. An empty table gives no sequences. Further columns are left out.
+separate documents; ids may be null. Texts of any length are tokenized whole; pieces of equal length are
+ranked by id, piece and hash, and which of equal ones comes first makes no difference. An empty table gives
+no sequences. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -186,19 +188,19 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bases[list(base)] = list(base.values())
     shared = parts.sparkSession.sparkContext.broadcast((lookup, bases))
 
-    def assign(frames):
+    def assign(batches):
         lookup, bases = shared.value
-        for f in frames:
-            n = f["length"].to_numpy()
-            g = bases[n] + f.pop("rank").to_numpy()
+        for b in batches:
+            n = b.column(3).to_numpy()
+            g = bases[n] + b.column(5).to_numpy()
             start, first, offset, per = lookup[np.searchsorted(lookup[:, 0], g, "right") - 1].T
-            f["sequence_id"], f["offset"] = first + (g - start) // per, offset + (g - start) % per * n
-            yield f
+            placed = [pa.array(first + (g - start) // per), pa.array(offset + (g - start) % per * n)]
+            yield pa.record_batch([*b.columns[:5], *placed], [*b.schema.names[:5], "sequence_id", "offset"])
 
     order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece")
     ranked = parts.withColumn("place", F.row_number().over(order) - 1).join(before, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    return ranked.mapInPandas(assign, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(assign, PIECES + ", sequence_id long, offset long")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

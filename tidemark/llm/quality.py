@@ -6,7 +6,9 @@ cached Cholesky factors. Sums for the fit are made by Spark over all labelled tr
 
 Null texts count as empty and get a score like all others. Labels of unknown documents and null labels
 teach nothing; several labels of one document count as its greatest; without rows of both classes the
-score is the share of good labels (0.5 without any). Repeated rows each get a row.
+score is the share of good labels (0.5 without any). Repeated rows and null ids each get a row; texts of any
+length are read whole; equal texts have equal scores; an empty table gives an empty result; further columns
+are left out.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def features(docs: DataFrame) -> DataFrame:
     def work(batches):
-        for b in batches:
+        for b in _text.portions(batches, 1):
             x = statistics(b.column(1))
             yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -106,12 +108,12 @@ def fit(known: DataFrame, shrink: float = SHRINK) -> Discriminant:
 
 
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    def work(frames):
-        for f in frames:
-            f["score"] = model.score(np.stack(f.pop("x").to_numpy())) if len(f) else np.zeros(0)
-            yield f[["doc_id", "score"]]
+    def work(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            yield pa.record_batch([b.column(0), pa.array(model.score(x) if len(x) else np.zeros(0))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "x").mapInPandas(work, "doc_id long, score double")
+    return stats.select("doc_id", "x").mapInArrow(work, "doc_id long, score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

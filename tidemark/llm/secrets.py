@@ -5,7 +5,9 @@ windows of three adjacent character sets. A batch of texts is indexed for the tr
 asks for, postings are intersected, and only candidates are run through the expression. Rules without
 mandatory trigrams scan all texts.
 
-Null texts count as empty and hold no secrets. Repeated rows each get a row. Spans are in code points.
+Null texts count as empty and hold no secrets. Repeated rows and null ids each get a row. Spans
+are in code points of the whole text, whatever its length; of spans with one start the rules' order decides.
+An empty table gives an empty result. Further columns are left out of scans and kept by redaction.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,16 +166,18 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     names = [r.kind for r in rules]
     own = None if rules is RULES else [(r.kind, r.pattern) for r in rules]
 
-    def work(frames):
+    def work(batches):
         scanner = Scanner(RULES if own is None else tuple(Rule(k, p) for k, p in own))
-        for f in frames:
-            texts = [t or "" for t in f["text"]]
-            found = scanner.scan(texts)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "spans": found, "redacted": [redact(t, s) if s else o for t, s, o in zip(texts, found, f["text"])]})
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for b in _text.portions(batches, 1):
+            given = b.column(1).to_pylist()
+            found = scanner.scan([t or "" for t in given])
+            spans = [[{"kind": k, "start": x, "end": y} for k, x, y in s] for s in found]
+            yield pa.record_batch([b.column(0), pa.array(spans, kind), pa.array([redact(t, s) if s else t for t, s in zip(given, found)], pa.string())], ["doc_id", "spans", "redacted"])
 
     assert len(set(names)) == len(names)
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, f"doc_id long, spans {SPANS}, redacted string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, spans {SPANS}, redacted string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -213,14 +216,15 @@ def _joined(spans) -> str:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in BASE]
 
-    def digest(frames):
+    def digest(batches):
         scanner = Scanner()
-        for f in frames:
+        for b in _text.portions(batches, 1):
             rows = []
-            for doc, spans in zip(f["doc_id"], scanner.scan([t or "" for t in f["text"]])):
+            for spans in scanner.scan([t or "" for t in b.column(1).to_pylist()]):
                 kept = [s for s in spans if s[0] in base]
-                rows.append((doc, *(sum(s[0] == k for s in kept) for k in base), hashlib.sha256(_joined(kept).encode()).hexdigest(), _joined(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                rows.append((*(sum(s[0] == k for s in kept) for k in base), hashlib.sha256(_joined(kept).encode()).hexdigest(), _joined(spans)))
+            types = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInPandas(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

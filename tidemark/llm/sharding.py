@@ -3,7 +3,8 @@
 Records hash into thousands of slots; bytes are summed per slot; a versioned slot-to-shard map spreads
 the slots. Rebalancing edits the map, never the hash. Only DataFrame functions touch the records.
 
-Null text counts as empty, a null id hashes like any other value, repeated rows are separate records,
+Null text counts as empty, a null id hashes like any other value, repeated rows are separate records, texts
+of any length are one record, equal records are placed in any order, slots of equal size go by their number,
 an empty table gives an empty result, and further columns are left out.
 """
 
