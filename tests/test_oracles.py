@@ -7,7 +7,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidemark.operators import volatility  # noqa: E402
-from tidemark.plans import registry  # noqa: E402
+from tidemark.plans import market, market_sql, registry  # noqa: E402
+
+QUERIES, ORACLE_SQL = registry.QUERIES | market.QUERIES, registry.ORACLE_SQL | market_sql.ORACLE_SQL
+TABLES = ("orders", "events", "part", "lineitem", "customer")
 
 D = "/root/testdata/sf0.01"
 
@@ -21,18 +24,18 @@ def spark():
     return s
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, name):
-    got = registry.QUERIES[name](spark, D).toPandas()
+    got = QUERIES[name](spark, D).toPandas()
     db = duckdb.connect()
-    for t in ("orders", "events"):
+    for t in TABLES:
         db.execute(f"create view {t} as from '{D}/{t}.parquet'")
-    want = db.execute(registry.ORACLE_SQL[name]).df()
+    want = db.execute(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got)
     keys = [c for c in columns if got[c].dtype.kind != "f"]
     for c in columns:
-        if c.endswith("date") or c.startswith("target_"):
+        if c.endswith(("date", "expiry", "_at", "timestamp")) or c.startswith("target_"):
             got[c], want[c] = (pd.to_datetime(f[c]).astype("datetime64[us]") for f in (got, want))
     a, b = (f[columns].sort_values(keys).reset_index(drop=True) for f in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1e-7)

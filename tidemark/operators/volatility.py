@@ -161,3 +161,16 @@ def walk_forward(prices: DataFrame, train: int, test: int, step: int) -> DataFra
     rows = rows.withColumn("first", first).withColumn("last", last).filter("n >= {} and first <= last".format(size))
     rows = rows.select("instrument_id", "session_date", "i", F.explode(F.sequence("first", "last")).alias("split"))
     return rows.select("instrument_id", "session_date", "split", F.when(i - F.col("split") * step < train, "train").otherwise("test").alias("role"))
+
+
+def last_rows(rows: DataFrame, n: int, *needed: str) -> DataFrame:
+    """Each instrument's last n rows in which all needed columns are known."""
+    newest = W.partitionBy("instrument_id").orderBy(F.desc("session_date"))
+    return rows.dropna(subset=list(needed)).withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n).drop("place")
+
+
+def annualized(rows: DataFrame, variance: str, year: int = YEAR) -> DataFrame:
+    """Daily variance with its yearly value and, floored at 0, the volatility; values that are not finite become null."""
+    daily = F.when(F.abs(variance) < float("inf"), F.col(variance))
+    out = rows.withColumn("daily_variance", daily).withColumn("annualized_variance", F.col("daily_variance") * year)
+    return out.withColumn("annualized_volatility", F.sqrt(F.when(F.col("annualized_variance").isNotNull(), F.greatest("annualized_variance", F.lit(0.0)))))
