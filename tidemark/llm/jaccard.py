@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import ready, saved, table
+from ._spark import ready, saved, table, written
 from .blobs import bitmap, maybe
 from .components import components
 
@@ -287,7 +287,7 @@ def possible(sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tup
     return out
 
 
-def hanging(met: DataFrame, outlines: DataFrame, percent: int, tasks: int) -> DataFrame:
+def hanging(met: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between nodes of a region that may be linked; nodes of a region of more than LEAF nodes all hang together."""
     sizes = met.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"))
     large = F.broadcast(sizes.filter(F.col("m") > LEAF))  # at most one to LEAF entries
@@ -299,7 +299,7 @@ def hanging(met: DataFrame, outlines: DataFrame, percent: int, tasks: int) -> Da
             yield _links([(node[i], node[j]) for i, j in possible(n, t.column("sketch").to_pylist(), percent)])
 
     small = met.join(large, "region", "left_anti").join(outlines.select("node", "n", "sketch"), "node").select("region", "node", "n", "sketch")
-    return small.repartition(tasks, "region").sortWithinPartitions("region").mapInArrow(work, "a long, b long").unionByName(whole)
+    return small.repartition("region").sortWithinPartitions("region").mapInArrow(work, "a long, b long").unionByName(whole)
 
 
 def connected(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -326,7 +326,7 @@ def connected(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[
                 comp[comp == comp[j]] = comp[i]
 
 
-def leaves(cells: DataFrame, percent: int, tasks: int) -> DataFrame:
+def leaves(cells: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of cells (cell, node, label, p) of bounded size."""
 
     def work(batches):
@@ -335,11 +335,11 @@ def leaves(cells: DataFrame, percent: int, tasks: int) -> DataFrame:
             if len(node) > 1:
                 yield _links([(node[i], node[j]) for i, j in connected([_unpack(p) for p in t.column("p").to_pylist()], t.column("label").to_numpy(), percent)])
 
-    rows = cells.select("cell", "node", "label", "p").repartition(tasks, "cell").sortWithinPartitions("cell")
+    rows = cells.select("cell", "node", "label", "p").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(work, "a long, b long")
 
 
-def measured(cells: DataFrame, level: int, percent: int, tasks: int) -> DataFrame:
+def measured(cells: DataFrame, level: int, percent: int) -> DataFrame:
     """(cell, node, home, near, linked) of large cells (cell, node, p): the nearest pivot, those within the window, and those linked."""
     luck = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
     cells = cells.withColumn("luck", luck)
@@ -372,7 +372,7 @@ def measured(cells: DataFrame, level: int, percent: int, tasks: int) -> DataFram
             types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
             yield pa.record_batch([pa.array(c, y) for c, y in zip(zip(*out) if out else [[]] * 5, types)], ["cell", "node", "home", "near", "linked"])
 
-    dealt = rows.unionByName(pivots).repartition(tasks, "cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+    dealt = rows.unionByName(pivots).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
     return dealt.mapInArrow(work, "cell long, node long, home long, near array<long>, linked array<long>")
 
 
@@ -410,33 +410,33 @@ def _blocks(cells: DataFrame, stats: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("cell", "w.t", "w.i", "w.j").alias("cell"), "node", "label", "n")
 
 
-def joined(cells: DataFrame, payload: DataFrame, percent: int, tasks: int) -> DataFrame:
+def joined(cells: DataFrame, payload: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that unite all linked nodes of cells (cell, node, n); payload has each node's set."""
     cells, links = cells.withColumn("label", F.col("node")), None
     for level in range(LEVELS):
-        stats = saved(_sized(cells))
+        stats = written(_sized(cells))
         small = cells.join(stats.filter("not large").select("cell"), "cell", "left_semi")
-        found = saved(leaves(small.join(payload, "node"), percent, tasks))
+        found = written(leaves(small.join(payload, "node"), percent))
         links = found if links is None else links.unionByName(found)
         large = stats.filter("large")
         if not large.limit(1).count():
             return links
-        cells = saved(cells.join(F.broadcast(large.select("cell", F.col("m").alias("before"))), "cell"))
-        apart = saved(measured(cells.join(payload, "node").select("cell", "node", "p"), level, percent, tasks))
+        cells = written(cells.join(F.broadcast(large.select("cell", F.col("m").alias("before"))), "cell"))
+        apart = written(measured(cells.join(payload, "node").select("cell", "node", "p"), level, percent))
         links = links.unionByName(apart.select(F.col("node").alias("a"), F.explode("linked").alias("b")))
-        cells = saved(_labelled(cells.join(apart.drop("linked"), ["cell", "node"]), links))
+        cells = written(_labelled(cells.join(apart.drop("linked"), ["cell", "node"]), links))
         tops = cells.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("label", F.struct("k", "label")).alias("top"))
         cells = cells.join(F.broadcast(tops), "cell")
         where = F.when(F.col("label") == F.col("top"), F.array("home")).otherwise(F.col("near"))
         children = cells.select("node", "n", "label", "before", "cell", F.explode(where).alias("pivot"))
-        children = saved(children.select(F.xxhash64("cell", "pivot").alias("child"), "cell", "node", "n", "label", "before"))
+        children = written(children.select(F.xxhash64("cell", "pivot").alias("child"), "cell", "node", "n", "label", "before"))
         parents = cells.select("cell", "node", "n", "label", "before")
         grown = children.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("m"), F.first("before").alias("before")).groupBy("cell").agg((F.max("m") > 0.7 * F.max("before")).alias("stuck"))
-        stuck = saved(grown.filter("stuck")) if level < LEVELS - 1 else saved(grown)
+        stuck = written(grown.filter("stuck")) if level < LEVELS - 1 else written(grown)
         blocks = _blocks(parents, stuck)
-        found = saved(leaves(blocks.join(saved(_sized(blocks)).select("cell"), "cell", "left_semi").join(payload, "node"), percent, tasks))
+        found = written(leaves(blocks.join(written(_sized(blocks)).select("cell"), "cell", "left_semi").join(payload, "node"), percent))
         links = links.unionByName(found)
-        cells = saved(_labelled(children.join(F.broadcast(stuck), "cell", "left_anti").drop("cell", "before").withColumnRenamed("child", "cell"), links))
+        cells = written(_labelled(children.join(F.broadcast(stuck), "cell", "left_anti").drop("cell", "before").withColumnRenamed("child", "cell"), links))
     return links
 
 
@@ -451,10 +451,10 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     tasks = max(least, int(1 + total // ENTRIES))
     bits = min(max(int(8 * tasks - 1).bit_length(), 4), 24)
     outlines = named.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("holder"))
-    outlines = saved(outlines)
-    met = saved(regions(docs, width, percent, bits, tasks, frequent(docs, width, bits, tasks)))
-    cells = components(hanging(met, outlines, percent, least))
-    cells = saved(cells.join(outlines.select("node", "n", "holder"), "node").select(F.col("label").alias("cell"), "node", "n", F.col("node").bitwiseXOR(F.shiftleft("holder", 37)).alias("key")))
+    outlines = written(outlines)
+    met = written(regions(docs, width, percent, bits, tasks, frequent(docs, width, bits, tasks)))
+    cells = components(hanging(met, outlines, percent))
+    cells = written(cells.join(outlines.select("node", "n", "holder"), "node").select(F.col("label").alias("cell"), "node", "n", F.col("node").bitwiseXOR(F.shiftleft("holder", 37)).alias("key")))
     filter_ = spark.sparkContext.broadcast(bitmap(cells.select("key"), cells.count()))
 
     def emit(batches):
@@ -466,7 +466,7 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
                 yield pa.record_batch([pa.array(nodes[rows].view(np.int64)), pa.array([_pack(found[i]) for i in rows], pa.binary())], ["node", "p"])
 
     payload = docs.mapInArrow(emit, "node long, p binary").join(cells.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    links = joined(cells.drop("key"), saved(payload), percent, least)
+    links = joined(cells.drop("key"), written(payload), percent)
     salted = components(links).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = named.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return named.join(salted, ["node", "salt"], "left").withColumn("label", F.coalesce("label", "node")).drop("salt")
@@ -474,7 +474,7 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    full = saved(labelled(docs.select("doc_id", "text"), width, percent))
+    full = written(labelled(docs.select("doc_id", "text"), width, percent))
     least = full.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     full = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"], "left")
     return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
