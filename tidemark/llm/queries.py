@@ -27,7 +27,7 @@ k as (select doc_id, n, i, hash(array_to_string(words[i : i + n - 1], ' ')) as h
 m as (select doc_id, i, k.n, item_id from k join p on p.h = k.h and p.n = k.n),
 t as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from m) group by 1),
 e as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from m) group by 1)"""
-#: SQL of what it can express, for unique ids: links and components, benchmark windows. The others give no SQL and are tested against brute force.
+#: SQL of what it can express, for unique ids: links and components, benchmark windows, repeated passages. The others give no SQL and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": f"""with recursive {_SETS}, x as materialized (select doc_id, hash(unnest(shingles)) as h from s), z as (select doc_id, len(shingles) as n from s),
 c as (select a.doc_id as a, b.doc_id as b, count(*) as common from x as a join x as b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
@@ -37,4 +37,14 @@ r as (select a as node, a as reached from g union select r.node, g.b from r join
 select z.doc_id, z.n as n_shingles, coalesce(least(min(reached), z.doc_id), z.doc_id) as component_id from z left join r on r.node = z.doc_id group by z.doc_id, z.n""",
     "op6_decontamination": f"""with {_BENCH} select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join t using (doc_id) left join e using (doc_id)""",
+    "op10_suffixes": """with d as (select doc_id, hex(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, hash(substr(x, 2 * i + 1, 100)) as h from d, range(0, n - 49) as r(i)),
+m as (select h, min(doc_id) as least from w group by 1),
+s as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 50, true)::int as new from w join m using (h) where least < doc_id),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as span from s),
+p as (select doc_id, span, min(i) as a, max(i) + 50 as b from g group by 1, 2),
+k as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as lo, a as hi from p union all select doc_id, max(b), null from p group by 1),
+t as (select k.doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (coalesce(hi, n) - lo)), '' order by lo) as kept from k join d using (doc_id) group by 1),
+c as (select doc_id, sum(b - a) as removed, count(*) as spans from p group by 1)
+select d.doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, x))) as kept_sha256 from d left join c using (doc_id) left join t using (doc_id)""",
 }
