@@ -106,21 +106,25 @@ def ewma(sessions: DataFrame, column: str, span: int) -> DataFrame:
     return sessions.groupBy("instrument_id").applyInPandas(follow, f"{fields}, ewma double")
 
 
-def metrics(backtest_: DataFrame, model: str, by: tuple[str, ...] = ("instrument_id",), stride: int = 5) -> DataFrame:
-    """Errors, correlation and shared direction of change of variance and volatility over non-overlapping rows.
+def metrics(backtest_: DataFrame, models: tuple[str, ...], by: tuple[str, ...] = ("instrument_id",), stride: int = 5) -> DataFrame:
+    """Errors, correlation and shared direction of change of variance and volatility over non-overlapping rows of each model.
 
     Rows are chosen before they are grouped; a change is against the previous chosen row of the same group.
-    Correlation is null where a side is constant, direction where a group has one row.
+    Correlation is null where a side is constant, direction where a group has one row. The backtest is read once for all models.
     """
-    target, forecast = "forward_annualized_variance", f"{model}_forecast_annualized_variance"
-    chosen = backtest_.filter(F.col(target).isNotNull() & F.col(forecast).isNotNull()).withColumn("k", F.row_number().over(_by()) - 1).filter(F.col("k") % stride == 0)
-    measures = [F.struct(F.lit(m).alias("measure"), f(target).alias("y"), f(forecast).alias("p")) for m, f in (("variance", F.col), ("volatility", F.sqrt))]
-    rows = chosen.select(*dict.fromkeys(("instrument_id", *by)), "session_date", F.explode(F.array(*measures)).alias("m")).select("*", "m.*").drop("m")
-    order = W.partitionBy(*by, "measure").orderBy("session_date")
+    if stride <= 0 or not models:
+        raise ValueError("a positive stride and a model are needed")
+    target = F.col("forward_annualized_variance")
+    forecasts = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_forecast_annualized_variance").alias("forecast")) for m in models])
+    rows = backtest_.select(*dict.fromkeys(("instrument_id", *by)), "session_date", target.alias("target"), F.explode(forecasts).alias("f")).select("*", "f.*").drop("f").dropna(subset=["target", "forecast"])
+    chosen = rows.withColumn("k", F.row_number().over(W.partitionBy("instrument_id", "model").orderBy("session_date")) - 1).filter(F.col("k") % stride == 0)
+    measures = [F.struct(F.lit(m).alias("measure"), f("target").alias("y"), f("forecast").alias("p")) for m, f in (("variance", F.col), ("volatility", F.sqrt))]
+    rows = chosen.select("*", F.explode(F.array(*measures)).alias("m")).select("*", "m.*").drop("m")
+    order = W.partitionBy(*by, "model", "measure").orderBy("session_date")
     same = F.signum(F.col("y") - F.lag("y").over(order)) == F.signum(F.col("p") - F.lag("p").over(order))
     error, spread = F.col("p") - F.col("y"), F.stddev_pop("y") * F.stddev_pop("p")
-    return rows.withColumn("same", same.cast("double")).groupBy(*by, "measure").agg(
-        F.lit(model).alias("model"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+    return rows.withColumn("same", same.cast("double")).groupBy(*by, "measure", "model").agg(
+        F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         F.when(spread > 0, F.covar_pop("y", "p") / spread).alias("correlation"), F.avg("same").alias("change_direction_accuracy"), F.count(F.lit(1)).alias("n_obs"),
     )
 

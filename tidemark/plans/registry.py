@@ -40,12 +40,11 @@ def rv_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = volatility.backtest(daily_closes(spark, sf_dir))
-    return _rounded(volatility.metrics(rows, "naive").unionByName(volatility.metrics(rows, "ewma")))
+    return _rounded(volatility.metrics(volatility.backtest(daily_closes(spark, sf_dir)), ("naive", "ewma")))
 
 
 def rv_regime_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(volatility.metrics(volatility.backtest(daily_closes(spark, sf_dir)), "naive", ("instrument_id", "regime")))
+    return _rounded(volatility.metrics(volatility.backtest(daily_closes(spark, sf_dir)), ("naive",), ("instrument_id", "regime")))
 
 
 def rv_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
