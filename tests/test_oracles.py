@@ -7,9 +7,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidemark.operators import volatility  # noqa: E402
-from tidemark.plans import market, market_sql, registry  # noqa: E402
+from tidemark.plans import feeds, market, market_sql, registry  # noqa: E402
 
-QUERIES, ORACLE_SQL = registry.QUERIES | market.QUERIES, registry.ORACLE_SQL | market_sql.ORACLE_SQL
+QUERIES = registry.QUERIES | market.QUERIES | feeds.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | market_sql.ORACLE_SQL | feeds.ORACLE_SQL
 TABLES = ("orders", "events", "part", "lineitem", "customer")
 
 D = "/root/testdata/sf0.01"
