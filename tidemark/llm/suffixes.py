@@ -123,7 +123,12 @@ def least_owner(segments: list[bytes], owner: np.ndarray, length: int = LENGTH)
     order, _ = suffix_array(data, length)
     order = order[ends[of[order]] - order >= length]
     equal = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(length):
+    eight = np.zeros(len(data), np.uint64)  # the eight bytes from each place on
+    for k in range(8):
+        eight[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    for k in sorted({*range(0, length - 7, 8), length - 8}) if length >= 8 else ():
+        equal &= eight[order[1:] + k] == eight[order[:-1] + k]
+    for k in range(length) if length < 8 else ():
         equal &= data[order[1:] + k] == data[order[:-1] + k]
     group = np.concatenate([[0], np.cumsum(~equal)])
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
