@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests_brute import brute_components, brute_set
 
@@ -267,6 +268,67 @@ def test_scoring(spark, folder):
         assert r["score"] < 0
 
 
+def test_scores_against_classes_and_counts(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import scoring
+    from tidemark.llm.language import remainder
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    known = {r["word"]: r for r in scoring.clustered(docs.filter(remainder(5) != 1)).collect()}
+    assert any(r["state"] < scoring.CLASSES for r in known.values())
+    lines = []
+    for r in docs.select("doc_id", "text", F.coalesce(remainder(5) != 1, F.lit(False)).alias("train")).collect():
+        [(_, _, h, tail, _)] = scoring.tokens(pa.array([r["text"]], pa.string()))
+        words = [known.get(int(x), {"n": 0, "state": int(t)}) for x, t in zip(h.view(np.int64), tail)]
+        lines.append((r["doc_id"], r["train"], [(w["n"], w["state"]) for w in words]))
+    moves, total, kinds = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in known.values():
+        total[r["state"]] += r["n"]
+        kinds[r["state"]] += 1
+    for _, train, line in lines:
+        states = [scoring.END, *(s for _, s in line), scoring.END]
+        for pair in zip(states, states[1:]) if train else ():
+            moves[pair] += 1
+    out = defaultdict(int)
+    for (a, _), n in moves.items():
+        out[a] += n
+    expected = defaultdict(list)
+    for d, _, line in lines:
+        states = [scoring.END, *(s for _, s in line), scoring.END]
+        value = sum(np.log10((moves[p] + 0.5) / (out[p[0]] + 0.5 * scoring.STATES)) for p in zip(states, states[1:]))
+        expected[d].append(value + sum(np.log10((n + 0.5) / (total[s] + 0.5 * (kinds[s] + 1))) for n, s in line))
+    got = defaultdict(list)
+    for r in rows(spark, folder, "op2_scoring"):
+        got[r["doc_id"]].append(r["score"])
+    assert set(got) == set(expected)
+    for d in got:
+        assert np.allclose(sorted(got[d]), sorted(expected[d]), rtol=1e-9)
+
+
+def test_words_move_to_the_class_with_their_neighbours():
+    from tidemark.llm import scoring
+
+    profile = np.zeros((scoring.CLASSES, 2 * scoring.KINDS))
+    profile[3, 5], profile[7, 9] = 100, 100
+    x = np.zeros((3, 2 * scoring.KINDS))
+    x[0, 5], x[1, 9], x[2, 5] = 4, 4, 1
+    assert scoring.chosen(x, [profile]).tolist() == [3, 7, 3]
+    later = profile.copy()
+    later[3] += x[0] + x[2]
+    later[7] += x[1]
+    assert scoring.chosen(x, [profile, later]).tolist() == [3, 7, 3]
+
+
+def test_frequent_words_are_bounded(spark, folder, monkeypatch):
+    """Few broadcast words, the rest joined: the scores are the same."""
+    from tidemark.llm import scoring
+
+    one = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows(spark, folder, "op2_scoring"))
+    monkeypatch.setattr(scoring, "FREQUENT", 3)
+    assert one == sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows(spark, folder, "op2_scoring"))
+
+
 def test_class_model_beats_unigrams_on_held_out_text(spark):
     tested = [r for r in rows(spark, "/root/testdata/sf0.01", "op2_scoring") if r["held_out"]]
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
