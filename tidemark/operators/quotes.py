@@ -41,3 +41,17 @@ def changes(prices: DataFrame) -> DataFrame:
 def page(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next rows after a key, in order of the key."""
     return rows.filter(F.col(key) > F.lit(after)).orderBy(key).limit(size)
+
+
+def transport(events: DataFrame, stream: str, clock: str, state: str) -> DataFrame:
+    """After each change of a connection: the attempts to reconnect since it was last connected, and whether its quotes are stale."""
+    order = W.partitionBy(stream).orderBy(clock)
+    since = F.sum((F.col(state) == "connected").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    within = W.partitionBy(stream, "_since").orderBy(clock).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = events.withColumn("_since", since).withColumn("attempt", F.sum((F.col(state) == "reconnecting").cast("int")).over(within))
+    return out.withColumn("stale", F.max(F.col(state).isin("reconnecting", "disconnected", "failed")).over(within)).drop("_since")
+
+
+def counters(events: DataFrame, kind: str) -> DataFrame:
+    """How often each kind occurred."""
+    return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))

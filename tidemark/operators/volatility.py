@@ -29,12 +29,27 @@ def returns(prices: DataFrame) -> DataFrame:
     return prices.withColumn("valid_price", valid).withColumn("log_return", change).withColumn("squared_return", F.col("log_return") ** 2).drop("valid_price")
 
 
-def _with_features(prices: DataFrame) -> DataFrame:
+def realized_variance(prices: DataFrame, window: int) -> DataFrame:
+    """returns() with `realized_variance`, the sum of the last `window` squared returns, all of them needed."""
+    if window < 1:
+        raise ValueError("a window has at least one session")
+    return returns(prices).withColumn("realized_variance", _full(F.sum, "squared_return", window, 1 - window, 0))
+
+
+def realized_volatility(prices: DataFrame, window: int, year: int | None = None) -> DataFrame:
+    """realized_variance() with its root, `realized_volatility`, of a year of so many sessions if given."""
+    scale = 1.0 if year is None else year / window
+    return realized_variance(prices, window).withColumn("realized_volatility", F.sqrt(F.col("realized_variance") * scale))
+
+
+def _with_features(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS, year: int = YEAR) -> DataFrame:
+    if not {5, 21} <= set(horizons) or min(horizons) < 1 or len(set(horizons)) < len(horizons) or year < 1:
+        raise ValueError("horizons are distinct, positive and hold 5 and 21; a year has sessions")
     out = returns(prices)
-    for h in HORIZONS:
+    for h in horizons:
         out = out.withColumn(f"horizon_variance_{h}d", _full(F.sum, "squared_return", h, 1 - h, 0))
-    for h in HORIZONS:
-        out = out.withColumn(f"annualized_variance_{h}d", F.col(f"horizon_variance_{h}d") * YEAR / h)
+    for h in horizons:
+        out = out.withColumn(f"annualized_variance_{h}d", F.col(f"horizon_variance_{h}d") * year / h)
         out = out.withColumn(f"annualized_volatility_{h}d", F.sqrt(f"annualized_variance_{h}d"))
     current, prior = "annualized_volatility_21d", (BENCHMARK, -BENCHMARK, -1)
     mean, spread = _full(F.avg, current, *prior), _full(F.stddev_pop, current, *prior)
@@ -47,8 +62,8 @@ def _with_features(prices: DataFrame) -> DataFrame:
     )
 
 
-def features(prices: DataFrame) -> DataFrame:
-    return _with_features(prices).drop("price", "log_return", "squared_return")
+def features(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS, year: int = YEAR) -> DataFrame:
+    return _with_features(prices, horizons, year).drop("price", "log_return", "squared_return")
 
 
 def report(prices: DataFrame, horizon: int = 5, lookback: int | None = None) -> DataFrame:
@@ -111,13 +126,17 @@ def metrics(backtest_: DataFrame, models: tuple[str, ...], by: tuple[str, ...] =
 
     Rows are chosen before they are grouped; a change is against the previous chosen row of the same group.
     Correlation is null where a side is constant, direction where a group has one row. The backtest is read once for all models.
+    An instrument without eligible rows has nulls and no observations; other groups exist only where rows were chosen.
     """
     if stride <= 0 or not models:
         raise ValueError("a positive stride and a model are needed")
     target = F.col("forward_annualized_variance")
     forecasts = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_forecast_annualized_variance").alias("forecast")) for m in models])
-    rows = backtest_.select(*dict.fromkeys(("instrument_id", *by)), "session_date", target.alias("target"), F.explode(forecasts).alias("f")).select("*", "f.*").drop("f").dropna(subset=["target", "forecast"])
-    chosen = rows.withColumn("k", F.row_number().over(W.partitionBy("instrument_id", "model").orderBy("session_date")) - 1).filter(F.col("k") % stride == 0)
+    rows = backtest_.select(*dict.fromkeys(("instrument_id", *by)), "session_date", target.alias("target"), F.explode(forecasts).alias("f")).select("*", "f.*").drop("f")
+    known = F.col("target").isNotNull() & F.col("forecast").isNotNull()
+    place = F.row_number().over(W.partitionBy("instrument_id", "model").orderBy(~known, "session_date")) - 1
+    empty = (F.col("k") == 0) & F.lit(by == ("instrument_id",))
+    chosen = rows.withColumn("k", place).filter(F.when(known, F.col("k") % stride == 0).otherwise(empty))
     measures = [F.struct(F.lit(m).alias("measure"), f("target").alias("y"), f("forecast").alias("p")) for m, f in (("variance", F.col), ("volatility", F.sqrt))]
     rows = chosen.select("*", F.explode(F.array(*measures)).alias("m")).select("*", "m.*").drop("m")
     order = W.partitionBy(*by, "model", "measure").orderBy("session_date")
@@ -125,10 +144,17 @@ def metrics(backtest_: DataFrame, models: tuple[str, ...], by: tuple[str, ...] =
     error, spread = F.col("p") - F.col("y"), F.stddev_pop("y") * F.stddev_pop("p")
     return rows.withColumn("same", same.cast("double")).groupBy(*by, "measure", "model").agg(
         F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.when(spread > 0, F.covar_pop("y", "p") / spread).alias("correlation"), F.avg("same").alias("change_direction_accuracy"), F.count(F.lit(1)).alias("n_obs"),
+        F.when(spread > 0, F.covar_pop("y", "p") / spread).alias("correlation"), F.avg("same").alias("change_direction_accuracy"), F.count(error).alias("n_obs"),
     )
 
 
+def evaluation_span(backtest_: DataFrame, model: str, stride: int = 5) -> DataFrame:
+    """The first and the last row that each instrument's metrics of a model rest on, and their number."""
+    rows = backtest_.dropna(subset=["forward_annualized_variance", f"{model}_forecast_annualized_variance"])
+    chosen = rows.withColumn("k", F.row_number().over(_by()) - 1).filter(F.col("k") % stride == 0)
+    return chosen.groupBy("instrument_id").agg(F.min("session_date").alias("evaluation_start_date"), F.max("session_date").alias("evaluation_end_date"), F.count(F.lit(1)).alias("n_obs"))
+
+
 def estimates(features_: DataFrame) -> DataFrame:
     """One row per session and horizon, of sessions where every horizon is known."""
     names = ("horizon_variance", "annualized_variance", "annualized_volatility")
