@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def ordinal_gaps(rows: DataFrame, by: str, ordinal: str, *order: str) -> DataFrame:
     """Rows whose stored ordinal is not their place in order."""
-    place = F.row_number().over(W.partitionBy(by).orderBy(*order))
+    place = F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long")
     return rows.withColumn("expected", place).filter(~F.col(ordinal).eqNullSafe(F.col("expected")))
 
 

@@ -11,7 +11,7 @@ def ordered(events: DataFrame, by: str, kinds: list[str], kind: str, *keys: str)
     """Each event's place in its group: by the rank of its kind, unknown kinds last, then by keys."""
     rank = F.coalesce(F.when(F.col(kind).isNotNull(), F.array_position(F.array(*map(F.lit, kinds)), F.col(kind))), F.lit(0))
     order = W.partitionBy(by).orderBy(F.when(rank > 0, rank).otherwise(len(kinds) + 1), *keys)
-    return events.withColumn("place", F.row_number().over(order))
+    return events.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def duplicates(events: DataFrame, content: list[str], order: str) -> DataFrame:

@@ -213,7 +213,7 @@ _N = "n as (select *, row_number() over (partition by l_orderkey order by l_line
 _STATES = f"""{_N}, s as (select l_orderkey, step, step // 3 as session, round(l_extendedprice) as value, (l_returnflag = 'R')::int as h, l_quantity from n),
 b as (select *, coalesce(lag(value) over (partition by l_orderkey order by step), 30000) as before from s),
 m as (select *, value - 30000 as position_pnl, value - first(before) over (partition by l_orderkey, session order by step) as session_pnl,
- sum(h) over (partition by l_orderkey, session order by step) as session_hedges, sum(h) over (partition by l_orderkey order by step) as total_hedges from b)"""
+ (sum(h) over (partition by l_orderkey, session order by step))::bigint as session_hedges, (sum(h) over (partition by l_orderkey order by step))::bigint as total_hedges from b)"""
 
 
 def _gates(source: str, rules: list[tuple[str, str, str, str, str, str, str]]) -> str:
@@ -288,7 +288,7 @@ where (moved and not (before_state = 'reconnecting' and previous_state is null a
 select event_id, 'invalid_subscription_lifecycle_sequence' as fault from z where source_order <= prior_order or session <> scope_session or provider <> scope_provider
  or (session_place = 1 and not (ps is null and st = 'subscribe_requested')) or (session_place > 1 and (sub_provider <> provider or sub_scope <> scope or sub_instruments <> case when event_id % 31 = 0 then 'y' else 'x' end or ps is distinct from ss))""",
     "transport_states": """with c as (select *, sum((event_type = 'purchase')::int) over w as g from events window w as (partition by user_id order by event_id))
-select user_id, event_id, sum((event_type = 'click')::int) over (partition by user_id, g order by event_id) as attempt, coalesce(max(case when event_type in ('click', 'error') then 1 end) over (partition by user_id, g order by event_id), 0) = 1 as stale from c""",
+select user_id, event_id, (sum((event_type = 'click')::int) over (partition by user_id, g order by event_id))::bigint as attempt, coalesce(max(case when event_type in ('click', 'error') then 1 end) over (partition by user_id, g order by event_id), 0) = 1 as stale from c""",
     "feed_counters": "select event_type, count(*) as n from events group by 1",
     "cleaned_prices": "select o_orderdate::date as session_date, max_by(o_totalprice, o_orderkey) as price from orders where o_orderkey % 17 <> 0 and o_orderkey % 13 <> 0 and o_orderkey % 11 <> 0 group by 1",
     "catalogue_rows": """select user_id, case when f is null then i else 0 end as row_number, case when f is null then r end as row, case when f is null then sha256(r) end as row_hash, f as fault from

@@ -83,7 +83,7 @@ def hedge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order lines, numbered without gaps or ties."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return _table(spark, sf_dir, "lineitem").withColumn("step", F.row_number().over(order))
+    return _table(spark, sf_dir, "lineitem").withColumn("step", F.row_number().over(order).cast("long"))
 
 
 def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def ordinal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    ranked = lambda *o: lines.filter("l_linestatus = 'F' or l_linenumber < 6").withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*o)))
+    ranked = lambda *o: lines.filter("l_linestatus = 'F' or l_linenumber < 6").withColumn("place", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*o)).cast("long"))
     return audits.order_differences(ranked("step"), ranked("l_partkey", "step").filter("l_tax < 0.08"), ["l_orderkey", "place"], "step")
 
 
