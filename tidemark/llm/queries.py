@@ -8,6 +8,7 @@ from .jaccard import op4_jaccard
 from .language import op9_language
 from .packing import op1_packing
 from .periodicity import op12_periodicity
+from .personal import op13_pii
 from .quality import op8_quality
 from .scoring import op2_scoring
 from .secrets import op5_secrets
@@ -17,7 +18,7 @@ from .whitening import op11_whitening
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_scoring, op3_fingerprints, op4_jaccard, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language, op10_suffixes, op11_whitening, op12_periodicity)
+    for f in (op1_packing, op2_scoring, op3_fingerprints, op4_jaccard, op5_secrets, op6_decontamination, op7_sharding, op8_quality, op9_language, op10_suffixes, op11_whitening, op12_periodicity, op13_pii)
 }
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SETS = f"""w as (select doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') as words from documents),
