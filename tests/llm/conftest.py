@@ -31,13 +31,25 @@ def small(spark, tmp_path_factory):
     bench = [(1, " ".join(f"w{i}" for i in range(40, 55))), (2, "one two"), (3, None), (4, "!!!")]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(7, 1, 0), (9, 0, 0), (99, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    vectors(spark, f"{d}/embeddings.parquet")
     return d
 
 
+def vectors(spark, path):
+    """Vectors with hard rows: null, null and non-finite entries, another length, repeated rows, null and repeated ids, a clashing column."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(0, 0.1 * (1 + i % 3), 12)]) for i in range(60)]
+    rows += [rows[0], (None, rows[1][1]), (3, rows[4][1]), (70, None), (71, [None, *rows[2][1][1:]]), (72, [float("nan"), *rows[2][1][1:]]), (73, [float("inf"), *rows[2][1][1:]]), (74, [1.0, 2.0]), (75, []), (76, [1e30, *rows[2][1][1:]])]
+    spark.createDataFrame([(k, v, 1, 2, 3.0) for k, v in rows], "vec_id long, embedding array<float>, label int, component int, vector double").coalesce(1).write.parquet(path)
+    return rows
+
+
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory, small):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 

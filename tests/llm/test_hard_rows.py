@@ -24,7 +24,7 @@ def hard(spark, tmp_path_factory):
     return d, Counter(d_ for d_, _ in rows)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_whitening"}))  # which reads no documents
 def test_every_row_keeps_its_id(spark, hard, name):
     folder, want = hard
     got = queries.QUERIES[name](spark, folder)

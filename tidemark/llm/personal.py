@@ -53,6 +53,10 @@ contact <email lena at uni dot example dot edu> today
 email <email kim_22 [at] shop [dot] com> please
 send it to <email max at mail3 dot org> soon, thanks
 <email dora(at)lab(dot)example(dot)com>
+escribe a <email luis at tienda dot es> mañana
+mail an <email eva at schule dot de> bitte
+mon adresse: <email luc at maison dot fr> merci
+mail <email ines at obra dot example dot es> ya
 ask <email bob(at)mail(dot)net> about it
 the host <ip 161.17.88.162> was down again
 from <ip 97.51.17.173> to <ip 10.0.0.7> at noon
@@ -117,6 +121,8 @@ score 3-2 and 12-7, then 0-0
 | la | casa | de | ella | 12 | otra |
 the&&& house%%% of*** it$$$ and&&& of%%%
 at the house, at the door. At that they met at last.
+at the door at ten dot one they met
+look at page ten dot by dot at home
 """
 
 _DIGIT, _LETTER, _AT, _DOT, _DASH, _SIGN = range(6)
