@@ -7,10 +7,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidemark.operators import volatility  # noqa: E402
-from tidemark.plans import desk, feeds, market, market_sql, registry  # noqa: E402
+from tidemark.plans import desk, feeds, market, market_sql, registry, wire_frames  # noqa: E402
 
-QUERIES = registry.QUERIES | market.QUERIES | feeds.QUERIES | desk.QUERIES
-ORACLE_SQL = registry.ORACLE_SQL | market_sql.ORACLE_SQL | feeds.ORACLE_SQL | desk.ORACLE_SQL
+QUERIES = registry.QUERIES | market.QUERIES | feeds.QUERIES | desk.QUERIES | wire_frames.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | market_sql.ORACLE_SQL | feeds.ORACLE_SQL | desk.ORACLE_SQL | wire_frames.ORACLE_SQL
 TABLES = ("orders", "events", "part", "lineitem", "customer")
 
 D = "/root/testdata/sf0.01"

@@ -45,7 +45,7 @@ def market_status(value: Column) -> Column:
 
 def identifier_fault(value: Column, most: int) -> Column:
     """What is wrong with a provider's identifier, or null."""
-    return F.when(value.isNull() | (value == ""), "empty").when(F.octet_length(value) > most, "too_long").when(value.rlike(r"^\s|\s$"), "outer_whitespace").when(value.rlike(r"[\x00-\x1F\x7F]"), "control_character")
+    return F.when(value.isNull() | (value == ""), "empty").when(F.octet_length(value) > most, "too_long").when(value.rlike(r"(?U)^\s|\s$"), "outer_whitespace").when(value.rlike(r"[\x00-\x1F\x7F]"), "control_character")
 
 
 def csv_list(value: Column, allowed: list[str]) -> Column:
