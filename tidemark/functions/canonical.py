@@ -8,7 +8,8 @@ zone, decimals of more than 28 digits, maps with keys that are no texts) are ref
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+import json
+from collections.abc import Callable, Collection, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _quoted(text: Column) -> Column:
     """A JSON text: quotes, backslashes and control characters escaped, all else as it is."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for c in map(chr, range(32)):
-        escaped = F.replace(escaped, F.lit(c), F.lit(_SHORT.get(c, f"\\u{ord(c):04x}")))
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1F"\\]'), escaped).otherwise(text), F.lit('"'))
+
+    def escaped(c: Column) -> Column:
+        out = F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c))
+        for char, to in _SHORT.items():
+            out = out.when(c == char, to)
+        return out.when(c < " ", F.concat(F.lit("\\u00"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).otherwise(c)
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1F"\\]'), whole).otherwise(text), F.lit('"'))
+
+
+def _object(members: Iterable[tuple[str, Column]]) -> Column:
+    """An object of names, which are known here, and JSON values."""
+    parts = [part for name, value in sorted(members, key=lambda m: m[0]) for part in (F.lit("," + json.dumps(name, ensure_ascii=False) + ":"), value)]
+    return F.concat(F.lit("{"), F.substring(F.concat(*parts), 2, 2**31 - 1), F.lit("}")) if parts else F.lit("{}")
 
 
 def plain(text: Column) -> Column:
@@ -102,8 +114,7 @@ def json_text(value: Column, kind: T.DataType, sets: Collection[str] = (), path:
         body = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
     elif isinstance(kind, T.StructType):
         dot = f"{path}." if path else ""
-        parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), json_text(value.getField(f.name), f.dataType, sets, dot + f.name)) for f in sorted(kind, key=lambda f: f.name)]
-        body = F.concat(F.lit("{"), *[p for part in parts for p in (F.lit(","), part)][1:], F.lit("}"))
+        body = _object((f.name, json_text(value.getField(f.name), f.dataType, sets, dot + f.name)) for f in kind)
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         entries = F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(_quoted(k), F.lit(":"), json_text(value[k], kind.valueType, sets, f"{path}{{}}")))
         body = _list(entries, "{", "}")
@@ -124,11 +135,14 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def flat(**fields: tuple[Column, str] | str) -> Column:
+    """Canonical JSON of an object of (column, type) or fixed texts."""
+    return _object((k, F.lit(json.dumps(v, ensure_ascii=False)) if isinstance(v, str) else json_text(v[0].cast(v[1]), T._parse_datatype_string(v[1]))) for k, v in fields.items())
+
+
 def hashed(**fields: tuple[Column, str] | str) -> Column:
-    """The stable hash of a flat object of (column, type) or fixed texts."""
-    parsed = {k: (F.lit(v), T.StringType()) if isinstance(v, str) else (v[0].cast(v[1]), T._parse_datatype_string(v[1])) for k, v in fields.items()}
-    parts = [F.concat(_quoted(F.lit(k)), F.lit(":"), json_text(v, kind)) for k, (v, kind) in sorted(parsed.items())]
-    return digest(F.concat(F.lit("{"), *[p for part in parts for p in (F.lit(","), part)][1:], F.lit("}")))
+    """The stable hash of a flat object."""
+    return digest(flat(**fields))
 
 
 def texts(**columns: Column) -> dict[str, tuple[Column, str]]:

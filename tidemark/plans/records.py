@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
-from tidemark.operators import chains
+from tidemark.operators import catalogue, chains, timeline
 from tidemark.workers import kept
 
 MARKET, KNOWN = datetime.datetime(1998, 6, 1), datetime.datetime(1998, 9, 1)
@@ -106,7 +107,69 @@ def record_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "underlying_id", "option_id", "version_id", mapping.alias("mapping_id"))
 
 
-QUERIES = {f.__name__: f for f in (quote_eligibility, correction_audit, option_chain, canonical_values, record_identities)}
+def version_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as records of one scope, of which every fifth key begins a chain; some break it."""
+    key, at = F.col("o_orderkey"), F.col("o_orderdate")
+    order = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", at.cast("timestamp").alias("o_orderdate")).withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("o_orderkey").over(order))
+    start = at + F.make_dt_interval(((key % 7 - 3) * 30).cast("int"))
+    target = F.when(key % 5 == 0, None).when((key % 241 == 0) & (F.col("o_custkey") % 2 == 0), key + 10**9).otherwise(F.col("before"))
+    return rows.select(
+        key.alias("record_id"), F.col("o_custkey").alias("scope_id"), target.alias("supersedes_record_id"), (at + F.make_dt_interval(secs=F.col("place").cast("decimal(18,6)"))).alias("recorded_at"),
+        start.alias("valid_from"), F.when(key % 4 > 0, start + F.make_dt_interval(((key % 13 + 1) * 60).cast("int"))).alias("valid_until"), "before",
+    )
+
+
+def _cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    known = F.when(key % 17 > 0, at + F.make_dt_interval((key % 900).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("cutoff_id"), F.col("o_custkey").alias("scope_id"), (at + F.make_dt_interval(F.lit(100))).alias("market_as_of"), known.alias("known_as_of"))
+
+
+def version_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.states(version_records(spark, sf_dir), _cutoffs(spark, sf_dir))
+
+
+def provider_key_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings recorded an hour after their versions; every second one points at the version before."""
+    versions = version_records(spark, sf_dir)
+    key = F.col("record_id")
+    mappings = versions.select(
+        key, "scope_id", F.when(key % 3 > 0, F.col("before")).alias("supersedes_record_id"), (F.col("recorded_at") + F.expr("interval 1 hour")).alias("recorded_at"), (F.col("valid_from") - F.expr("interval 90 days")).alias("valid_from"), F.when(key % 6 > 0, F.col("valid_until")).alias("valid_until"),
+        F.when(key % 2 == 0, F.coalesce("before", key)).otherwise(key).alias("version_id"),
+    )
+    return timeline.mapping_states(mappings, versions.drop("before"), _cutoffs(spark, sf_dir))
+
+
+PROFILE = catalogue.Profile("p", "p-index-1", "IDX|N", "N_50", "XNSE", "INR", "INDEX", "FO", ("N", "N 50"))
+# One provider row of each part, the same text in both dialects; %s joins texts.
+_ROW = """case when p_partkey < 20 and p_partkey <> 3 or p_partkey = 25 then '{"exchange":"XNSE","instrument_key":"IDX|N","instrument_type":"INDEX","lot_size":' || case when p_partkey = 25 then 2 else 1 end || ',"segment":"INDEX","tick_size":5,"trading_symbol":"N"}'
+else '{"exchange":"XNSE","expiry":' || case when p_partkey = 49 then '"soon"' else cast(1704067200000 + p_partkey % 50 * 86400000 as varchar(20)) end || ',"instrument_key":"FO|' || case when p_partkey = 47 then 27 else p_partkey end || '","instrument_type":"' ||
+case p_partkey % 3 when 0 then 'FUT' when 1 then 'CE' else 'PE' end || '","lot_size":50,' || case when p_partkey = 51 then '"note":null,' else '' end || '"segment":"FO","strike_price":' || p_partkey || '.5,"tick_size":2.5,"trading_symbol":"S' || p_partkey ||
+'","underlying_key":"' || case when p_partkey % 7 = 0 then 'IDX|X' else 'IDX|N' end || '","underlying_symbol":"n_50","underlying_type":"INDEX"}' end"""
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty artifacts of the parts' rows; every eleventh row stands twice."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_ROW).alias("row")).withColumn("copy", F.explode(F.expr("if(p_partkey % 11 = 0, array(1, 2), array(1))")))
+    number = F.row_number().over(W.partitionBy(F.col("p_partkey") % 20).orderBy("p_partkey", "copy")).cast("long")
+    rows = parts.select(F.concat(F.lit("art-"), (F.col("p_partkey") % 20).cast("string")).alias("artifact_id"), number.alias("row_number"), "row", F.sha2("row", 256).alias("row_hash"))
+    return catalogue.outcomes(rows, PROFILE)
+
+
+def catalogue_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _catalogue(spark, sf_dir)
+    return out.select("artifact_id", "row_number", "provider_key", "disposition", "reason", "kind", "expiry", F.col("strike").cast("double").alias("strike"), "option_side", "lot_size", F.col("tick_size").cast("double").alias("tick_size"), "normalized_hash", "semantic_id", "occurrence_id")
+
+
+def catalogue_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.plans(_catalogue(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (quote_eligibility, correction_audit, option_chain, canonical_values, record_identities, version_states, provider_key_states, catalogue_outcomes, catalogue_plans)
+}
 
 _C = f"""o as (select *, {_CONTRACT} as contract_id, {_VERSION} as version_id, {_MAPPING} as mapping_id, {_TARGET} as target, {_BASIS} as basis, {_TYPE} as event_type,
 o_orderdate + case when o_orderkey % 2 = 0 then interval 1 day else interval 60 day end as available, o_orderkey % 983 = 5 as twice from orders),
@@ -131,6 +194,24 @@ b as (select target from k where fault is null group by 1 having count(*) > 1),
 r as (select event_id as origin, target as reached, 1 as n from w union all select r.origin, w.target, n + 1 from r join w on w.event_id = r.reached where r.reached <> r.origin and n < 100),
 x as (select event_id, contract_id, fault from k where fault is not null union all select event_id, contract_id, 'branch' from k where fault is null and target in (select target from b)
 union all select event_id, contract_id, 'cycle' from w where event_id in (select origin from r where reached = origin))"""
+_T = """o as (select o_orderkey as id, o_custkey as scope, o_orderdate as day, row_number() over w as place, lag(o_orderkey) over w as before from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+v as (select id, scope, before, case when id % 5 = 0 then null when id % 241 = 0 and scope % 2 = 0 then id + 1000000000 else before end as target, day + to_seconds(place) as r, day + to_days(((id % 7 - 3) * 30)::int) as f,
+case when id % 4 > 0 then day + to_days(((id % 7 - 3) * 30)::int) + to_days(((id % 13 + 1) * 60)::int) end as u from o),
+c as (select id as cutoff, scope, day + interval 100 day as market, case when id % 17 > 0 then day + to_days((id % 900)::int) else timestamp '9999-12-31' end as known from o),
+t as (select id, id as root from v where target is null union all select v.id, coalesce(t.root, v.id) from v join t on v.target = t.id),
+x as (select id, root from t union all select id, target from v where target > 999999999),
+b as (select scope, min(r) as since from v where target > 999999999 group by 1),
+h as (select cutoff, root, max_by(id, r) as id from c join v using (scope) join (select id, root from t) using (id) where r <= known and f <= market and (u is null or market < u) group by 1, 2),
+k as (select cutoff, count(*) as n, min(id) as id from h group by 1),
+s as (select cutoff, scope, known, market, case when since <= known then 'corrupt' when n is null then 'none' when n > 1 then 'ambiguous' else 'resolved' end as state, k.id from c left join k using (cutoff) left join b using (scope))"""
+_U = "sha256:' || sha256('{\"canonical_symbol\":\"N_50\",\"currency\":\"INR\",\"entity\":\"underlying_instrument\",\"exchange\":\"XNSE\",\"instrument_type\":\"index\"}') || '"
+_P = f"""g as (select p_partkey as k, 'art-' || p_partkey % 20 as artifact_id, row_number() over (partition by p_partkey % 20 order by p_partkey, c) as row_number, c, {_ROW} as row from part, (select unnest([1, 2]) as c) where c = 1 or p_partkey % 11 = 0),
+i as (select *, sha256(row) as row_hash, (k < 20 and k <> 3) or k = 25 as own, 'FO|' || case when k = 47 then 27 else k end as fo, date '2024-01-01' + (k % 50)::int as expiry from g),
+d as (select *, case when own then 'IDX|N' else fo end as provider_key, case when not own and k % 7 = 0 then 'excluded_by_profile' when c = 2 then 'exact_duplicate' when k = 49 then 'expiry' when k in (27, 47, 5, 25) then 'conflicting_provider_key' end as reason from i),
+z as (select *, case when reason is null then 'accepted' when reason like 'ex%e' and reason <> 'expiry' then reason else 'refused' end as disposition from d),
+y as (select *, case when disposition = 'accepted' then case when own then '{{"canonical_symbol":"N_50","currency":"INR","display_symbol":"N","exchange":"XNSE","instrument_type":"index","kind":"underlying","lot_size":"1","provider_contract_key":"IDX|N","tick_size":"0.05","trading_status":"active"}}'
+else '{{"currency":"INR","display_symbol":"S' || k || '","exchange":"XNSE",' || case when k % 3 > 0 then '"exercise_style":"european",' else '' end || '"expiry":"' || expiry || '","kind":"' || case when k % 3 = 0 then 'future' else 'option' end || '","lot_size":"50","multiplier":"1",' ||
+case k % 3 when 0 then '' when 1 then '"option_side":"call",' else '"option_side":"put",' end || '"provider_contract_key":"' || fo || '","settlement_type":"cash",' || case when k % 3 > 0 then '"strike":"' || k || '.5",' else '' end || '"tick_size":"0.025","trading_status":"active","underlying_instrument_id":"{_U}"}}' end end as projection from z)"""
 _N = "rtrim(rtrim(o_totalprice::varchar, '0'), '.')"
 ORACLE_SQL = {
     "quote_eligibility": f"with {_C} select event_id, contract_id, reason, eligible from e",
@@ -149,4 +230,22 @@ v as (select *, 'sha256:' || sha256('{"catalogue_version_id":"cat-1","display_sy
 case when p_partkey % 3 = 0 then '"' || (f + interval 30 day)::date || 'T00:00:00+00:00"' else 'null' end || '}') as version_id from o)
 select p_partkey, underlying_id, option_id, version_id, 'sha256:' || sha256('{"contract_version_id":"' || version_id || '","effective_from":"' || f::date || 'T00:00:00+00:00","effective_until":null,"entity":"provider_contract_mapping","provider":"p","provider_contract_key":"SEG|' || p_partkey || '","provider_payload_hash":"sha256:0","source_row_identity":' ||
 case when p_partkey % 4 = 0 then '"' || p_partkey || '"' else 'null' end || '}') as mapping_id from v""",
+    "version_states": f"with recursive {_T} select cutoff as cutoff_id, scope as scope_id, case when state = 'resolved' then id end as record_id, state from s",
+    "provider_key_states": f"""with recursive {_T}, m as (select id, scope, case when id % 3 > 0 then before end as target, r + interval 1 hour as r, f - interval 90 day as f, case when id % 6 > 0 then u end as u, case when id % 2 = 0 then coalesce(before, id) else id end as version from v),
+g as (select id, id as root from m where target is null union all select m.id, g.root from m join g on m.target = g.id),
+y as (select cutoff, root, m.id, version, m.r, state, m.f <= market and (m.u is null or market < m.u) and state = 'resolved' and version = s.id as good from s join m using (scope) join g on g.id = m.id where m.r <= known),
+z as (select cutoff, root, max_by(id, r) filter (where good) as id, max_by(version, r) filter (where good) as version, bool_or(state = 'corrupt') as c, bool_or(state = 'ambiguous') as a from y group by 1, 2),
+w as (select cutoff, count(id) as n, min(id) as id, min(version) as version, bool_or(c) as c, bool_or(a) as a from z group by 1),
+q as (select s.cutoff, s.scope, case when c then 'corrupt_version' when a then 'ambiguous_version' when coalesce(n, 0) = 0 then 'none' when n > 1 then 'ambiguous' else 'resolved' end as state, w.id, version from s left join w using (cutoff))
+select cutoff as cutoff_id, scope as scope_id, case when state = 'resolved' then id end as record_id, case when state = 'resolved' then version end as version_id, case when state = 'resolved' then scope end as instrument_id, state from q""",
+    "catalogue_outcomes": f"""with {_P} select artifact_id, row_number, provider_key, disposition, reason, case when projection is null then null when own then 'underlying' when k % 3 = 0 then 'future' else 'option' end as kind, case when projection is not null and not own then expiry end as expiry,
+case when projection is not null and not own and k % 3 > 0 then k + 0.5::double end as strike, case when projection is not null and not own then case k % 3 when 1 then 'call' when 2 then 'put' end end as option_side, case when projection is not null then case when own then 1 else 50 end end as lot_size,
+case when projection is not null then case when own then 0.05::double else 0.025::double end end as tick_size, 'sha256:' || sha256(projection) as normalized_hash,
+'sha256:' || sha256('{{"entity":"catalogue_source_row_semantic","profile_version":"p-index-1","provider":"p","raw_row_hash":"' || row_hash || '"}}') as semantic_id,
+'sha256:' || sha256('{{"entity":"catalogue_source_row_occurrence","physical_row_number":"' || row_number || '","raw_row_hash":"' || row_hash || '","source_artifact_id":"' || artifact_id || '"}}') as occurrence_id from y""",
+    "catalogue_plans": f"""with {_P}, x as (select artifact_id, count(*) as physical_rows, count(*) filter (where disposition = 'accepted') as accepted, count(*) filter (where disposition = 'exact_duplicate') as duplicates, count(*) filter (where disposition = 'excluded_by_profile') as excluded,
+count(*) filter (where disposition = 'refused') as refused, count(distinct row_hash) filter (where own) as n, min_by(reason, row_number) filter (where disposition = 'refused') as why, string_agg(projection, ',' order by 'sha256:' || sha256(projection), projection) as items, bool_or(k = 51) as noted from y group by 1)
+select artifact_id, physical_rows, accepted, duplicates, excluded, refused, case when n = 0 then 'missing_underlying' when n > 1 then 'duplicate_underlying' else why end as fault,
+'sha256:' || sha256('{{"entity":"catalogue_field_fingerprint","fields":["exchange","expiry","instrument_key","instrument_type","lot_size",' || case when noted then '"note",' else '' end || '"segment","strike_price","tick_size","trading_symbol","underlying_key","underlying_symbol","underlying_type"]}}') as field_fingerprint,
+case when n = 1 and why is null then 'sha256:' || sha256('{{"entity":"normalized_provider_catalogue","items":[' || items || ']}}') end as catalogue_hash from x""",
 }
