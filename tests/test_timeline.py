@@ -33,7 +33,9 @@ def test_states_equal_a_resolve_at_every_cutoff(session):
     records = session.createDataFrame(rows, "record_id long, scope_id int, supersedes_record_id long, recorded_at timestamp, valid_from timestamp, valid_until timestamp")
     moments = [(T(m), T(1000 + k)) for m in (0, 100, 250, 450) for k in (0, 200, 777)]
     cutoffs = [(100 * i + s, s, m, k) for i, (m, k) in enumerate(moments) for s in range(13)]
-    got = {c["cutoff_id"]: (c["record_id"], c["state"]) for c in timeline.states(records, session.createDataFrame(cutoffs, "cutoff_id int, scope_id int, market_as_of timestamp, known_as_of timestamp")).collect()}
+    asked = session.createDataFrame(cutoffs, "cutoff_id int, scope_id int, market_as_of timestamp, known_as_of timestamp")
+    got, same = ({c["cutoff_id"]: (c["record_id"], c["state"]) for c in timeline.states(records, asked, large_scopes=large).collect()} for large in (False, True))
+    assert got == same
     assert len(got) == len(cutoffs)
     for i, (market, known) in enumerate(moments):
         valid = (F.col("valid_from") <= F.lit(market)) & (F.col("valid_until").isNull() | (F.lit(market) < F.col("valid_until")))

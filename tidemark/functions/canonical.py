@@ -104,10 +104,16 @@ def json_text(value: Column, kind: T.DataType, sets: Collection[str] = (), path:
     elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         body = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
     elif isinstance(kind, T.DecimalType) and kind.precision <= 28:
-        body = F.concat(F.lit('"'), plain(value.cast("string")), F.lit('"'))
+        text = value.cast("string")
+        short = F.regexp_replace(text, r"(\.[0-9]*[1-9])0+$|\.0+$", "$1")
+        body = F.concat(F.lit('"'), F.when(text.contains("E"), plain(text)).otherwise(short) if kind.scale else text, F.lit('"'))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         double = value.cast("double")
-        body = F.when(F.isnan(double) | (F.abs(double) == float("inf")), None).otherwise(F.concat(F.lit('"'), plain(shortest(double)), F.lit('"')))
+        size, text = F.abs(double), double.cast("string")
+        # what prints in full within 15 digits only sheds the zero that Java puts behind whole numbers
+        simple = (size >= 1e-3) & (size < 1e7) & (F.length(text) <= 16)
+        number = F.when(double == 0, "0").when(simple, F.regexp_replace(text, r"\.0$", "")).otherwise(plain(shortest(double)))
+        body = F.when(F.isnan(double) | (size == float("inf")), None).otherwise(F.concat(F.lit('"'), number, F.lit('"')))
     elif isinstance(kind, T.TimestampType):
         body = F.concat(F.lit('"'), iso_time(value), F.lit('"'))
     elif isinstance(kind, T.DateType):

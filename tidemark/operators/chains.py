@@ -98,7 +98,7 @@ def correction_faults(judged: DataFrame) -> DataFrame:
         F.when(F.col("event_id") == F.col("supersedes_event_id"), "self").when(~F.coalesce("_eligible", F.lit(False)), "no_eligible_target")
         .when(~F.col("_contract").eqNullSafe(F.col("contract_id")), "other_contract").when(~F.col("_type").eqNullSafe(F.col("event_type")), "other_type")
     )
-    seen = seen.withColumn("fault", fault)
+    seen = kept(seen.select("event_id", "contract_id", "supersedes_event_id", fault.alias("fault")))  # corrections only, and used several times
     sound = seen.filter("fault is null")
     branches = sound.groupBy("supersedes_event_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     branched = sound.join(branches, "supersedes_event_id", "left_semi").select("event_id", "contract_id", F.lit("branch").alias("fault"))
