@@ -61,8 +61,8 @@ _ORDER = "case when o_orderkey % 3 = 0 then o_orderkey % 100 end"
 
 ORACLE_SQL = {
     "option_greeks": _GREEKS,
-    "option_faults": """select p_partkey, case when p_partkey % 5 = 0 then 'option_type must be call or put' when p_partkey % 7 = 0 then 'spot must be positive and finite' when p_partkey % 11 = 0 then 'strike must be positive and finite'
- when p_partkey % 17 = 0 then 'time to expiry must be non-negative and finite' when p_partkey % 19 = 0 then 'volatility must be non-negative and finite' end as fault from part""",
+    "option_faults": """select p_partkey, case when p_partkey % 5 = 0 then 'side_unknown' when p_partkey % 7 = 0 then 'spot_not_positive' when p_partkey % 11 = 0 then 'strike_not_positive'
+ when p_partkey % 17 = 0 then 'years_negative' when p_partkey % 19 = 0 then 'volatility_negative' end as fault from part""",
     "implied_volatility": "select p_partkey, round((p_partkey % 13 + 2) * 0.05::double, 4) as volatility, true as converged, 'converged' as reason from part",
     "option_forward": f"with {_CONTRACTS} select p_partkey, round(spot * exp(0.03::double * years), 6) as forward from c",
     "synthetic_chain": f"""with {_CONTRACTS}, f as (select p_partkey, round_even(spot * exp((rate - dividend) * years) / 50, 0) as m from c)
