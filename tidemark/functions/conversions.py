@@ -12,18 +12,19 @@ def epoch_millis(value: Column, zero_is_none: bool = True) -> Column:
 
 
 def epoch_time(value: Column) -> Column:
-    """Seconds since the epoch, or milliseconds where the number is too great for seconds."""
-    return F.timestamp_millis(F.when(value > 10_000_000_000, value).otherwise(value * 1000).cast("long"))
+    """Seconds since the epoch, or milliseconds where the number is too great for seconds; null beyond the year 9999."""
+    millis = F.when(value > 10_000_000_000, value).otherwise(value * 1000)
+    return F.timestamp_millis(F.when(F.abs(millis) <= 253_402_300_799_999, millis).try_cast("long"))
 
 
 def price_decimal(value: Column) -> Column:
-    """A price as an exact decimal; null where it is negative or not finite."""
-    exact = value.cast("string").cast("decimal(38,18)")
-    return F.when((value >= 0) & (value < float("inf")), F.abs(exact))
+    """A price as an exact decimal; null where it is negative or not finite, or 38 digits with 18 places cannot hold it exactly."""
+    exact = F.when((value >= 0) & (value < float("inf")), value.cast("string")).try_cast("decimal(38,18)")
+    return F.when(exact.cast("double") == value, F.abs(exact))
 
 
 def price_fault(value: Column) -> Column:
-    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "not_finite").when(value < 0, "negative")
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "not_finite").when(value < 0, "negative").when(price_decimal(value).isNull(), "out_of_range")
 
 
 def expiry_date(millis: Column, zone: str = "Asia/Kolkata") -> Column:

@@ -23,7 +23,8 @@ def duplicates(events: DataFrame, content: list[str], order: str) -> DataFrame:
 
 def observation_id(event_id: Column, scope: Column, sequence: Column, file: Column, row: Column, ingestion: Column) -> Column:
     """A stable id from the best identity at hand: the provider's, a scoped sequence, a place in a file, or the ingestion; never from content."""
-    tagged = lambda tag, *c: F.concat_ws("|", F.lit(tag), *[x.cast("string") for x in c])
+    sized = lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"))  # noqa: E731  so that no two lists of parts meet
+    tagged = lambda tag, *c: F.concat_ws("|", F.lit(tag), *map(sized, c))
     found = (
         F.when(event_id.isNotNull(), tagged("event", event_id)).when(scope.isNotNull() & sequence.isNotNull(), tagged("sequence", scope, sequence))
         .when(file.isNotNull() & row.isNotNull(), tagged("row", file, row)).when(ingestion.isNotNull(), tagged("ingestion", ingestion))
@@ -38,6 +39,33 @@ def remaining(steps: DataFrame, by: str, order: str, fraction: str, maturity: Co
 
 
 def sessions(ranges: DataFrame, first: str, last: str, holidays: list[str] | None = None) -> DataFrame:
-    """One row per weekday of each range that is no holiday, numbered within the range by `session`."""
-    days = F.filter(F.sequence(F.col(first), F.col(last)), lambda d: (F.weekday(d) < 5) & ~d.cast("string").isin(holidays or [""]))
+    """One row per weekday of each range that is no holiday, numbered within the range by `session`; a reversed range has none."""
+    span = F.when(F.col(first) <= F.col(last), F.sequence(F.col(first), F.greatest(F.col(first), F.col(last))))
+    days = F.filter(span, lambda d: (F.weekday(d) < 5) & ~d.cast("string").isin(holidays or [""]))
     return ranges.select("*", F.posexplode(days).alias("session", "session_date"))
+
+
+def decisions(days: DataFrame, times: list[str], by: str, entry: str, zone: str, periods: int = 252) -> DataFrame:
+    """The decision times of each range's sessions (`sessions` gives session and session_date), numbered by `step`: the first session begins at the entry time.
+
+    decision_at is the moment of the local time in its zone, years the part of a year since the decision before: 0 at first.
+    """
+    if entry not in times or times != sorted(set(times)):
+        raise ValueError("times are distinct, in order, and hold the entry")
+    rows = days.select("*", F.posexplode(F.array(*map(F.lit, times))).alias("decision", "local_time")).filter((F.col("session") > 0) | (F.col("local_time") >= entry))
+    step = F.row_number().over(W.partitionBy(by).orderBy("session", "decision")) - 1
+    local = F.to_timestamp_ntz(F.concat_ws(" ", F.col("session_date").cast("string"), F.col("local_time")), F.lit("yyyy-MM-dd HH:mm"))
+    moment = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return rows.withColumn("step", step).withColumn("decision_at", moment).withColumn("years", F.when(F.col("step") == 0, 0.0).otherwise(1.0 / (periods * len(times))))
+
+
+def expiries(entries: DataFrame, entry: str, remaining: str, holidays: list[str] | None = None, periods: int = 252) -> DataFrame:
+    """Each entry with `expiry_date`, the session so many sessions after the entry's, and the years up to it; null where none remains.
+
+    The entry's day counts as the first session, or the next weekday that is no holiday. Twice the sessions and all holidays are days enough.
+    """
+    closed = holidays or []
+    span = F.sequence(F.col(entry), F.date_add(F.col(entry), (F.col(remaining) * 2 + 7 + len(closed) * 3).cast("int")))
+    open_ = F.filter(span, lambda d: (F.weekday(d) < 5) & ~d.cast("string").isin(closed or [""]))
+    fine = F.col(remaining) > 0
+    return entries.withColumn("expiry_date", F.when(fine, F.get(F.when(fine, open_), F.col(remaining).cast("int")))).withColumn("years_to_expiry", F.when(fine, F.col(remaining) / periods))

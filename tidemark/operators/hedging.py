@@ -14,8 +14,11 @@ def half_band(cost_rate: float, aversion: float, spot: Column, gamma: Column) ->
     return F.cbrt(F.lit(3.0 * cost_rate) * spot * gamma * gamma / (2.0 * aversion))
 
 
-def decisions(states: DataFrame, policies: tuple[str, ...] = POLICIES, interval: int = 3, limit: float = 10.0, lower: float = -8.0, upper: float = 12.0, cost_rate: float = 0.01, aversion: float = 2.0, widest: float = 20.0) -> DataFrame:
-    """One row per state (step_index, net_delta, spot, gamma, delta_per_contract, ...) and policy: the boundaries, the target and the contracts to trade."""
+def decisions(states: DataFrame, policies: tuple[str, ...] = POLICIES, interval: int = 3, limit: float = 10.0, goal: float = 0.0, lower: float = -8.0, upper: float = 12.0, cost_rate: float = 0.01, aversion: float = 2.0, widest: float = 20.0) -> DataFrame:
+    """One row per state (step_index, net_delta, spot, gamma, delta_per_contract, ...) and policy: the boundaries, the target and the contracts to trade.
+
+    goal: the net delta that fixed_interval and delta_threshold trade back to; the threshold is the distance from zero.
+    """
     unknown = set(policies) - set(POLICIES)
     if unknown or interval <= 0 or limit < 0 or lower >= upper or widest <= 0:
         raise ValueError(f"invalid policies or parameters: {sorted(unknown)}")
@@ -30,7 +33,7 @@ def decisions(states: DataFrame, policies: tuple[str, ...] = POLICIES, interval:
     banded = policy.isin("constant_band", "whalley_wilmott")
     trades = F.when(policy == "no_hedge", F.lit(False)).when(policy == "fixed_interval", F.col("step_index") % interval == 0).when(policy == "forced_reduction", F.lit(True)).otherwise(~inside)
     edge = F.when(delta < F.col("lower_boundary"), F.col("lower_boundary")).otherwise(F.col("upper_boundary"))
-    target = F.when(policy == "no_hedge", delta).when(banded, F.when(inside, delta).otherwise(edge)).otherwise(0.0)
+    target = F.when(policy == "no_hedge", delta).when(banded, F.when(inside, delta).otherwise(edge)).when(policy == "forced_reduction", 0.0).otherwise(float(goal))
     rows = rows.withColumn("trades", trades).withColumn("target_net_delta", target)
     continuous = F.when(F.col("trades"), (F.col("target_net_delta") - delta) / F.col("delta_per_contract")).otherwise(0.0)
     rows = rows.withColumn("continuous_quantity", continuous).withColumn("contracts", F.bround("continuous_quantity", 0).cast("long"))
@@ -85,12 +88,14 @@ def drawdown(values: DataFrame, by: str, value: str, *order: str) -> DataFrame:
 
 
 def reconciliation(fills_: DataFrame, by: str, terminal: DataFrame, tolerance: str = "0.01") -> DataFrame:
-    """Per group: the profit of options and futures, their costs, and what of the terminal profit (by, terminal_pnl) is unexplained."""
+    """Per group with a terminal profit (by, terminal_pnl): the profit of options and futures, their costs, and what is unexplained; without fills all of it."""
     gross = F.when(F.col("side") == "sell", F.col("gross_notional")).otherwise(-F.col("gross_notional"))
     part = lambda kind, c: money(F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0).cast("decimal(18,2)")))
     sums = fills_.groupBy(by).agg(*[part(k, c).alias(f"{k}_{n}") for k in ("option", "futures") for n, c in (("pnl", gross), ("costs", F.col("total_cost")))])
+    names = [c for c in sums.columns if c != by]
+    out = terminal.join(sums, by, "left").select(by, *(F.coalesce(c, F.lit(0).cast("decimal(18,2)")).alias(c) for c in names), *(c for c in terminal.columns if c != by))
     explained = F.col("option_pnl") + F.col("futures_pnl") - F.col("option_costs") - F.col("futures_costs")
-    out = sums.join(terminal, by).withColumn("residual", money(F.col("terminal_pnl") - explained))
+    out = out.withColumn("residual", money(F.col("terminal_pnl") - explained))
     return out.withColumn("reconciled", F.abs("residual") <= F.lit(tolerance).cast("decimal(18,2)"))
 
 

@@ -155,7 +155,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, received = F.col("event_id"), F.col("ts").cast("timestamp")
     millis = F.unix_millis(received) + F.when(e % 19 == 0, 400_000).otherwise(0)
     price = F.when(e % 23 == 0, F.lit('"x"')).when(e % 29 == 0, F.lit("-1.5")).otherwise(F.col("value").cast("string"))
-    ltpc = F.concat(F.lit('{"ltp": '), price, F.lit(', "ltt": "'), millis.cast("string"), F.lit('", "ltq": "'), (e % 50 - 5).cast("string"), F.lit('", "cp": '), (e % 9).cast("string"), F.lit("}"))
+    ltpc = F.concat(F.lit('{"ltp": '), price, F.lit(', "ltt": "'), F.when(e % 37 == 0, "1e300").when(e % 41 == 0, "1e20").otherwise(millis.cast("string")), F.lit('", "ltq": "'), (e % 50 - 5).cast("string"), F.lit('", "cp": '), (e % 9).cast("string"), F.lit("}"))
     feed = F.when(e % 3 == 0, F.concat(F.lit('{"ltpc": '), ltpc, F.lit("}"))).when(e % 3 == 1, F.concat(F.lit('{"fullFeed": {"marketFF": {"ltpc": '), ltpc, F.lit("}}}"))).otherwise(F.concat(F.lit('{"fullFeed": {"indexFF": {"ltpc": '), ltpc, F.lit("}}}")))
     status = F.concat(F.lit('"marketInfo": {"segmentStatus": {"NSE": "'), F.when(e % 4 == 0, "NORMAL_OPEN").when(e % 4 == 1, "PRE_OPEN_START").when(e % 4 == 2, "NORMAL_CLOSE").otherwise("odd"), F.lit('"}}'))
     body = F.concat(F.lit('{"feeds": {"U'), F.col("user_id").cast("string"), F.lit('": '), feed, F.lit("}, "), status, F.lit("}"))
@@ -163,7 +163,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requested = spark.range(100).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("instrument"))
+    requested = _table(spark, sf_dir, "events").filter("user_id < 100").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("instrument")).distinct()
     out = feeds.feed_quotes(_messages(spark, sf_dir), "payload", "received", requested)
     return out.select("event_id", "instrument", "price", "previous_close", "last_quantity", F.unix_millis("traded_at").alias("traded_ms"))
 
@@ -294,7 +294,7 @@ select user_id, event_id, (sum((event_type = 'click')::int) over (partition by u
     "catalogue_rows": """select user_id, case when f is null then i else 0 end as row_number, case when f is null then r end as row, case when f is null then sha256(r) end as row_hash, f as fault from
 (select user_id, row_number() over (partition by user_id order by event_id) as i, replace(props, ' ', '') as r, case when user_id % 7 = 0 then 'malformed' when user_id % 11 = 0 then 'duplicate_keys' when user_id % 13 = 0 then 'not_flat' when user_id % 17 = 0 then 'not_an_array' end as f from events) where f is null or i = 1""",
     "feed_quotes": f"""select event_id, 'U' || user_id as instrument, {_FEED} as price, nullif(event_id % 9, 0)::double as previous_close, case when event_id % 50 >= 5 then event_id % 50 - 5 end as last_quantity, epoch_us(ts) // 1000 as traded_ms
-from events where user_id < 100 and event_id % 31 <> 0 and event_id % 19 <> 0 and {_FEED} > 0""",
+from events where user_id < 100 and event_id % 31 <> 0 and event_id % 19 <> 0 and event_id % 37 <> 0 and event_id % 41 <> 0 and {_FEED} > 0""",
     "feed_segments": "select event_id, 'NSE' as segment, case event_id % 4 when 0 then 'open' when 1 then 'pre_open' when 2 then 'closed' else 'unknown' end as state from events where event_id % 31 <> 0",
     "stream_sequences": "select user_id as instrument, value as price, row_number() over (partition by user_id order by ts) as sequence from events",
     "stream_latest": "select user_id as instrument, max(event_id) as event_id, max_by(value, event_id) as price from events group by 1",

@@ -22,6 +22,7 @@ def candle_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T15:"), F.lpad((key % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(key / 60) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((key % 1_000_000).cast("string"), 6, "0"), F.when(key % 7 == 0, "").otherwise("+05:30"))
     close = F.when(key % 11 == 0, -key).otherwise(key).cast("string")
     body = F.when(key % 13 == 0, F.concat(F.lit('[["'), stamp, F.lit('", 1, 2]]'))).otherwise(F.concat(F.lit('[["'), stamp, F.lit('", 1, 2, 3, '), close, F.lit(", 0]]")))
+    body = F.when(key % 3 == 0, F.concat(F.lit('{"status": "success", "data": {"candles": '), body, F.lit("}}"))).otherwise(body)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderpriority is not null")
     return candles.closes(orders.select((key % 50).alias("instrument_id"), body.alias("payload")))
 
@@ -76,7 +77,7 @@ where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 grou
 select * from q where instrument_id in (select instrument_id from q group by 1 having count(*) >= 100)""",
     "event_order": "select user_id, event_id, row_number() over (partition by user_id order by case event_type when 'purchase' then 1 when 'click' then 2 else 3 end, event_id) as place from events",
     "duplicate_split": "select event_id, nullif(min(event_id) over (partition by user_id, event_type, props), event_id) as first_occurrence from events",
-    "observation_ids": """select event_id, sha256(case when event_id % 3 = 0 then 'event|' || event_id when event_id % 2 = 0 then 'sequence|' || user_id || '|' || event_id when event_id % 5 = 0 then 'row|' || event_type || '|' || event_id else 'ingestion|' || event_id end) as observation_id from events""",
+    "observation_ids": """select event_id, sha256(case when event_id % 3 = 0 then 'event|' || n when event_id % 2 = 0 then 'sequence|' || length(user_id::varchar) || ':' || user_id || '|' || n when event_id % 5 = 0 then 'row|' || length(event_type) || ':' || event_type || '|' || n else 'ingestion|' || n end) as observation_id from (select *, length(event_id::varchar) || ':' || event_id as n from events)""",
     "remaining_maturity": f"with {_N}, e as (select l_orderkey, step, sum(l_tax) over (partition by l_orderkey order by step) as elapsed from n) select l_orderkey, step, round(elapsed, 6) as elapsed, round(greatest(0.1::double - elapsed, 0), 6) as remaining from e",
     "session_calendar": """with d as (select o_orderkey, unnest(generate_series(o_orderdate::date, o_orderdate::date + 9, interval 1 day))::date as session_date from orders)
 select o_orderkey, (row_number() over (partition by o_orderkey order by session_date) - 1)::int as session, session_date from d where isodow(session_date) < 6 and session_date <> date '1996-01-01'""",

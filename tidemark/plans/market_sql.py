@@ -78,7 +78,7 @@ select p_partkey, ((m + i) * 50)::double as strike, 0.02::double as spread, 1000
     "ledger_drawdown": f"""with {_VALUES}, p as (select l_orderkey, max(value) over (partition by l_orderkey order by step, entry_type desc rows unbounded preceding) - value as below from v)
 select l_orderkey, (max(below) / 100)::double as maximum_drawdown from p group by 1""",
     "reconciliation": f"""with {_LINES}, s as (select l_orderkey, sum(case when kind = 'option' then -w * gross else 0 end) as op, sum(case when kind = 'option' then total else 0 end) as oc, sum(case when kind = 'futures' then -w * gross else 0 end) as fp, sum(case when kind = 'futures' then total else 0 end) as fc from x group by 1),
-t as (select s.*, round(o_totalprice * 100)::bigint as pnl from s join orders on o_orderkey = l_orderkey)
+t as (select o_orderkey as l_orderkey, coalesce(op, 0) as op, coalesce(oc, 0) as oc, coalesce(fp, 0) as fp, coalesce(fc, 0) as fc, round(o_totalprice * 100)::bigint as pnl from orders left join s on o_orderkey = l_orderkey)
 select l_orderkey, (op / 100)::double as option_pnl, (oc / 100)::double as option_costs, (fp / 100)::double as futures_pnl, (fc / 100)::double as futures_costs, pnl / 100 as terminal_pnl, ((pnl - op - fp + oc + fc) / 100)::double as residual, abs(pnl - op - fp + oc + fc) <= 1 as reconciled from t""",
     "premium_at_risk": f"with {_LINES} select l_orderkey, case when count(*) filter (side <> 'buy') = 0 then (sum(gross + total) / 100)::double end as premium_at_risk from x group by 1",
     "greek_attribution": f"""with {_STEPS}, l as (select l_orderkey, step, leg, l_quantity as spot, l_discount as vol, l_tax as years, l_extendedprice * leg / 100 as price, leg * 0.5::double + 0.1::double as delta, l_tax * 0.1::double as gamma, leg * l_discount as theta from n, (values (1), (-1)) as v(leg)),
@@ -123,9 +123,9 @@ select * from n where not (n_F = (o_orderstatus = 'F')::int and n_O = (o_orderst
     "feed_rollup": f"with {_FRESH} select case when count(*) = 0 then 'unknown' when bool_or(freshness = 'stale') then 'stale' when bool_or(freshness = 'fresh') then 'fresh' else 'awaiting' end as feed from s",
     "keyset_page": "select o_orderkey, o_totalprice from orders where o_orderkey > 1000 order by 1 limit 50",
     "provider_conversions": """with o as (select o_orderkey as k, o_orderkey * 86400000 + 70000000 as m, * from orders)
-select o_orderkey, case when k % 8 <> 0 then m end as at_millis, case when k % 2 = 0 then case when m > 10000000000 then m else m * 1000 end else k * 1000 end as epoch_millis,
-strftime(make_timestamp(m * 1000) + interval 330 minute, '%Y-%m-%d') as expiry, case when k % 9 <> 0 and k % 10 <> 0 then o_totalprice end as price,
-case when k % 9 = 0 then 'negative' when k % 10 = 0 then 'not_finite' end as price_fault, (k % 1000) / 100 as tick, o_orderpriority as segment,
+select o_orderkey, case when k % 8 <> 0 then m end as at_millis, case when k % 26 <> 0 then case when k % 2 = 0 then case when m > 10000000000 then m else m * 1000 end else k * 1000 end end as epoch_millis,
+strftime(make_timestamp(m * 1000) + interval 330 minute, '%Y-%m-%d') as expiry, case when k % 9 <> 0 and k % 10 <> 0 and k % 14 <> 0 and k % 22 <> 0 then o_totalprice end as price,
+case when k % 9 = 0 then 'negative' when k % 10 = 0 then 'not_finite' when k % 14 = 0 or k % 22 = 0 then 'out_of_range' end as price_fault, (k % 1000) / 100 as tick, o_orderpriority as segment,
 case k % 4 when 0 then 'pre_open' when 1 then 'open' when 2 then 'closed' else 'unknown' end as status, case k % 6 when 0 then 'outer_whitespace' when 1 then 'too_long' end as identifier_fault,
 case when o_orderstatus in ('F', 'O') then 'a;b;' || o_orderstatus end as listed from o""",
     "stable_hashes": """select o_orderkey, sha256('{"customer":' || coalesce('"' || case when o_custkey % 5 <> 0 then o_custkey end || '"', 'null') || ',"key":"' || o_orderkey || '","status":"' || o_orderstatus || '"}') as hash,
