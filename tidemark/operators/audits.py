@@ -74,3 +74,8 @@ def conflicts(rows: DataFrame, key: str, *content: str) -> DataFrame:
     """Keys that occur with different contents; identical repeats are no conflict."""
     print_ = F.sha2(F.to_json(F.struct(*content)), 256)
     return rows.groupBy(key).agg(F.count_distinct(print_).alias("n_contents")).filter("n_contents > 1")
+
+
+def failed_scopes(failures: DataFrame, by: str, *scope: str) -> DataFrame:
+    """Per group how many different entries failed, however often each did; entries are named by their scope, nulls by themselves."""
+    return failures.groupBy(by).agg(F.count_distinct(F.struct(*scope)).alias("n_scopes"))

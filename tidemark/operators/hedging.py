@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Policies, and their reasons to hold and to trade.
 POLICIES = ("no_hedge", "fixed_interval", "delta_threshold", "constant_band", "whalley_wilmott", "forced_reduction")
 
+HOLDS = {"no_hedge": "policy_never_hedges", "fixed_interval": "outside_scheduled_step", "delta_threshold": "inside_delta_threshold", "constant_band": "inside_constant_band", "whalley_wilmott": "inside_whalley_wilmott_band"}
+TRADES = {"fixed_interval": "scheduled_rebalance", "delta_threshold": "delta_threshold_breached", "constant_band": "constant_band_breached", "whalley_wilmott": "whalley_wilmott_band_breached", "forced_reduction": "absolute_delta_forced_hedge"}
+
 
 def half_band(cost_rate: float, aversion: float, spot: Column, gamma: Column) -> Column:
     """Half the width of the no-trade band of Whalley and Wilmott."""
@@ -39,7 +43,8 @@ def decisions(states: DataFrame, policies: tuple[str, ...] = POLICIES, interval:
     rows = rows.withColumn("continuous_quantity", continuous).withColumn("contracts", F.bround("continuous_quantity", 0).cast("long"))
     after = delta + F.col("contracts") * F.col("delta_per_contract")
     action = F.when(F.col("contracts") > 0, "buy_hedge").when(F.col("contracts") < 0, "sell_hedge").otherwise("hold")
-    reason = F.when(F.col("trades") & (F.col("contracts") == 0), "rounded_quantity_zero").when(F.col("trades"), "rebalance").otherwise("inside")
+    named = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[policy]
+    reason = F.when(F.col("trades") & (F.col("contracts") == 0), "rounded_quantity_zero").when(F.col("trades"), named(TRADES)).otherwise(named(HOLDS))
     rows = rows.withColumn("net_delta_after", after).withColumn("residual_delta", after - F.col("target_net_delta"))
     return rows.withColumn("action", action).withColumn("reason", reason).drop("trades")
 
@@ -117,3 +122,31 @@ def greek_attribution(legs: DataFrame, run: str, leg: str, clock: str) -> DataFr
     steps = legs.select(run, F.col(clock), before(clock).alias("since"), *[v.alias(f"{k}_change") for k, v in parts.items()]).filter("since is not null")
     out = steps.groupBy(run, "since", clock).agg(*[F.sum(f"{k}_change").alias(f"{k}_change") for k in parts])
     return out.withColumn("residual", F.col("exact_change") - F.col("delta_change") - F.col("gamma_change") - F.col("theta_change") - F.col("vega_change"))
+
+
+def daily_theta(legs: DataFrame, by: str, theta: Column, periods: int = 252) -> DataFrame:
+    """Per group the size of what its positions lose in a session: the sum of their yearly thetas (decimals), never netted over groups."""
+    return legs.groupBy(by).agg(money(F.abs(F.sum(theta)) / F.lit(periods)).alias("theta"))
+
+
+def summary(runs: DataFrame, run: str, decisions_: DataFrame, fills_: DataFrame, attribution: DataFrame) -> DataFrame:
+    """One row for each run (run, starting_nav, terminal_value): hedges, turnover, deltas before and after hedging, drawdown, seconds and attribution.
+
+    decisions_: run, step, at, delta_before, delta_after, value_before, value_after (nulls are passed over), traded. fills_: run,
+    kind, gross_notional. attribution: run and delta_change, gamma_change, theta_change, vega_change, residual. The drawdown runs
+    over the start, both values of each step in order, and the end. Runs without decisions have no deltas and no seconds.
+    """
+    size = lambda c: F.abs(F.col(c))
+    deltas = [f(c).alias(f"{name}_{c}") for c in ("delta_before", "delta_after") for name, f in (("greatest", lambda c: F.max(size(c))), ("mean", lambda c: F.avg(size(c))), ("root_mean_square", lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))))]
+    seconds = (F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 1e6
+    d = decisions_.groupBy(run).agg(F.count_if("traded").alias("hedges"), *deltas, seconds.alias("seconds"))
+    turnover = fills_.filter("kind = 'futures'").groupBy(run).agg(money(F.sum("gross_notional")).alias("futures_turnover"))
+    parts = [c for c in attribution.columns if c.endswith("_change") or c == "residual"]
+    greeks = attribution.groupBy(run).agg(*(F.sum(c).alias(c) for c in parts if c != "exact_change"))
+    value = lambda step, at, v: F.struct(step.cast("long").alias("step"), F.lit(at).alias("place"), F.col(v).cast("decimal(18,2)").alias("value"))
+    ends = runs.select(run, F.explode(F.array(value(F.lit(-(2**62)), 0, "starting_nav"), value(F.lit(2**62), 0, "terminal_value"))).alias("_v"))
+    between = decisions_.select(run, F.explode(F.array(value(F.col("step"), 0, "value_before"), value(F.col("step"), 1, "value_after"))).alias("_v"))
+    path = ends.unionByName(between).select(run, "_v.*").filter("value is not null")
+    out = runs.join(d, run, "left").join(turnover, run, "left").join(greeks, run, "left").join(drawdown(path, run, "value", "step", "place"), run, "left")
+    counted = {"hedges": F.coalesce("hedges", F.lit(0)).cast("long"), "futures_turnover": F.coalesce("futures_turnover", F.lit(0).cast("decimal(18,2)")), **{c: F.coalesce(c, F.lit(0.0)) for c in greeks.columns if c != run}}
+    return out.withColumns(counted)

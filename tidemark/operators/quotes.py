@@ -55,3 +55,9 @@ def transport(events: DataFrame, stream: str, clock: str, state: str) -> DataFra
 def counters(events: DataFrame, kind: str) -> DataFrame:
     """How often each kind occurred."""
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def own_change(quotes: DataFrame, price: str = "price", previous: str = "previous_close") -> DataFrame:
+    """Each quote's change against the previous close that it carries itself; null where that is missing or not positive."""
+    base = F.when(F.col(previous) > 0, F.col(previous))
+    return quotes.withColumn("change", F.col(price) - base).withColumn("percent", (F.col(price) - base) / base * 100)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import audits, hedging
 from tidemark.operators import events as ev
-from tidemark.operators import hedging
 from tidemark.plans.market import _lines
 from tidemark.sources import candles
 from tidemark.sources.prices import daily_closes
@@ -57,13 +57,12 @@ def session_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    theta = F.sum((F.col("l_quantity") - 30).cast("decimal(12,2)"))
-    out = _lines(spark, sf_dir).groupBy("l_orderkey").agg(hedging.money(F.abs(theta) / F.lit(252)).cast("double").alias("theta"))
-    return out
+    out = hedging.daily_theta(_lines(spark, sf_dir), "l_orderkey", (F.col("l_quantity") - 30).cast("decimal(12,2)"))
+    return out.select("l_orderkey", F.col("theta").cast("double").alias("theta"))
 
 
 def failed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).filter("value < 20").groupBy("event_type").agg(F.count_distinct(F.struct("user_id", "props")).alias("n_scopes"))
+    return audits.failed_scopes(_events(spark, sf_dir).filter("value < 20"), "event_type", "user_id", "props")
 
 
 QUERIES = {f.__name__: f for f in (candle_closes, history_gate, event_order, duplicate_split, observation_ids, remaining_maturity, session_calendar, daily_theta, failed_entries)}

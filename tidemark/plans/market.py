@@ -70,7 +70,7 @@ def straddle_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def earliest_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's earliest order day with a number of remaining sessions in bounds."""
     orders = _table(spark, sf_dir, "orders").withColumn("sessions", F.col("o_orderkey") % 20)
-    return orders.filter("sessions between 7 and 15").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("expiry"))
+    return options.earliest_expiry(orders.withColumn("expiry", F.to_date("o_orderdate")), "o_custkey", "expiry", "sessions", 7, 15)
 
 
 def hedge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

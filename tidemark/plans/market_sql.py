@@ -70,7 +70,8 @@ select p_partkey, ((m + i) * 50)::double as strike, 0.02::double as spread, 1000
     "straddle_top1": "select l_orderkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by abs(l_quantity - 25), l_discount, -l_tax, -l_partkey, l_quantity) = 1",
     "earliest_expiry": "select o_custkey, min(o_orderdate)::date as expiry from orders where o_orderkey % 20 between 7 and 15 group by 1",
     "hedge_decisions": f"""with {_HEDGE} select l_orderkey, l_linenumber, policy_id, round(lo, 6)::double as lower_boundary, round(hi, 6)::double as upper_boundary, round(target, 6)::double as target_net_delta, round(delta + contracts * 5, 6) as net_delta_after,
- round(delta + contracts * 5 - target, 6) as residual_delta, contracts, case when contracts > 0 then 'buy_hedge' when contracts < 0 then 'sell_hedge' else 'hold' end as action, case when trades and contracts = 0 then 'rounded_quantity_zero' when trades then 'rebalance' else 'inside' end as reason from q""",
+ round(delta + contracts * 5 - target, 6) as residual_delta, contracts, case when contracts > 0 then 'buy_hedge' when contracts < 0 then 'sell_hedge' else 'hold' end as action, case when trades and contracts = 0 then 'rounded_quantity_zero' when trades then case policy_id when 'fixed_interval' then 'scheduled_rebalance' when 'forced_reduction' then 'absolute_delta_forced_hedge' else policy_id || case when policy_id like 'w%' then '_band' else '' end || '_breached' end
+ when policy_id = 'no_hedge' then 'policy_never_hedges' when policy_id = 'fixed_interval' then 'outside_scheduled_step' else 'inside_' || policy_id || case when policy_id like 'w%' then '_band' else '' end end as reason from q""",
     "simulated_fills": f"""with {_LINES} select l_orderkey, step, greatest(ref + w * 35, 0) / 100 as fill_price, gross / 100 as gross_notional, spread / 100 as half_spread_cost, slip / 100 as slippage_cost, prop / 100 as proportional_cost, 5::double as fixed_cost, total / 100 as total_cost from x""",
     "ledger_entries": f"with {_ENTRIES} select l_orderkey, step, entry_type, quantity_change, cash_change / 100 as cash_change, cost / 100 as cost from l",
     "ledger_cash": f"with {_ENTRIES} select l_orderkey, (sum(cash_change) / 100)::double as cash, (sum(cost) / 100)::double as costs from l group by 1",
