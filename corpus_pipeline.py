@@ -3,7 +3,10 @@
 Each stage reads what its predecessor wrote. All but the last return the columns of documents.
 
 Every row is judged by its own text, whatever its id: null ids are kept like others, and of several texts
-under one id each stays, goes or is redacted on its own. Repeated rows are one group of near duplicates.
+under one id each stays, goes or is redacted on its own. Repeated rows are one group of near duplicates. Null and empty
+texts have no recognisable language and go at the first stage. Texts are read whole, whatever their length. Of ties the
+least id stays, then the least hash of the row. An empty table stays empty through all stages. Further columns are kept, and
+the helper columns of a stage have names that no column of its input has.
 """
 
 from __future__ import annotations
@@ -36,12 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least = keys.filter("words").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
     least = least.select(F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"))
     chosen = keys.filter("words").join(least, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("row") == F.col("least_row")), "left_semi")
-    chosen = saved(chosen.unionByName(keys.filter("not words")).select(F.col("doc_id").alias("chosen_id"), F.col("row").alias("chosen_row"), (F.col("words") & (F.col("n") > 1)).alias("repeated")))
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name of the table, so no column is called like it
+    ident, own, again = f"{mark}i", f"{mark}r", f"{mark}n"
+    chosen = saved(chosen.unionByName(keys.filter("not words")).select(F.col("doc_id").alias(ident), F.col("row").alias(own), (F.col("words") & (F.col("n") > 1)).alias(again)))
 
     def kept(some: DataFrame) -> DataFrame:
-        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (row == F.col("chosen_row")), "left_semi")
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col(ident)) & (row == F.col(own)), "left_semi")
 
-    return kept(chosen.filter("not repeated")).unionByName(kept(chosen.filter("repeated")).dropDuplicates())
+    return kept(chosen.filter(~F.col(again))).unionByName(kept(chosen.filter(again)).dropDuplicates())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
