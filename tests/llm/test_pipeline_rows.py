@@ -54,3 +54,22 @@ def test_redaction_keeps_each_row_its_own_text(spark, bench):
     assert clean == {(None, A): 1, (1, B): 1, (2, None): 1}
     hidden = [(d, t, n) for d, t, n in got if t and "[" in t]
     assert {d for d, _, _ in hidden} == {None, 1} and all("AKIA" not in t and n == len(t) for _, t, n in hidden)
+
+
+CLASH = "repeated chosen_id chosen_row row n words label least _i _r _n __i __r __n lang_pred score spans redacted hit_words items n_words contaminated".split()
+
+
+@pytest.mark.parametrize("stage", [s for n, s in p.STAGES if n != "packing"])
+def test_columns_named_like_helpers_are_kept(spark, bench, stage):
+    rows = [(None, A), (5, A), (5, A), (6, B), (7, LEAK + " and on it goes"), (8, KEY), (9, C)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), *[str(d)] * len(CLASH)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+    out = stage(spark, docs, bench)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {r["doc_id"] for r in got} >= {6, 8, 9} and all(r[c] == str(r["doc_id"]) for r in got for c in CLASH)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in p.STAGES])
+def test_empty_tables_stay_empty(spark, bench, stage):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert stage(spark, docs, bench).count() == 0
