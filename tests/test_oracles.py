@@ -7,10 +7,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tidemark.operators import volatility  # noqa: E402
-from tidemark.plans import desk, feeds, market, market_sql, records, registry, reports, streams, wire_frames  # noqa: E402
+from tidemark.plans import desk, feeds, market, market_sql, records, registry, reports, stored_records, streams, wire_frames  # noqa: E402
 
-QUERIES = registry.QUERIES | market.QUERIES | feeds.QUERIES | desk.QUERIES | wire_frames.QUERIES | records.QUERIES | streams.QUERIES | reports.QUERIES
-ORACLE_SQL = registry.ORACLE_SQL | market_sql.ORACLE_SQL | feeds.ORACLE_SQL | desk.ORACLE_SQL | wire_frames.ORACLE_SQL | records.ORACLE_SQL | streams.ORACLE_SQL | reports.ORACLE_SQL
+QUERIES = registry.QUERIES | market.QUERIES | feeds.QUERIES | desk.QUERIES | wire_frames.QUERIES | records.QUERIES | streams.QUERIES | reports.QUERIES | stored_records.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | market_sql.ORACLE_SQL | feeds.ORACLE_SQL | desk.ORACLE_SQL | wire_frames.ORACLE_SQL | records.ORACLE_SQL | streams.ORACLE_SQL | reports.ORACLE_SQL | stored_records.ORACLE_SQL
 TABLES = ("orders", "events", "part", "lineitem", "customer")
 
 D = "/root/testdata/sf0.01"

@@ -16,16 +16,24 @@ def effective(valid_from: Column, valid_until: Column, recorded_at: Column, supe
 
 
 def violations(records: DataFrame) -> DataFrame:
-    """(record_id, violation) of records (record_id, scope_id, recorded_at, supersedes_record_id) that break a chain. Strictly increasing times exclude cycles."""
-    target = records.select(F.col("record_id").alias("supersedes_record_id"), F.col("scope_id").alias("their_scope"), F.col("recorded_at").alias("their_time"))
+    """(record_id, violation) of records (record_id, scope_id, recorded_at, supersedes_record_id, and kind if there is one) that break a chain. Strictly increasing times exclude cycles.
+
+    Rows repeated throughout count once; an id of several contents is `conflicting_content`, whatever else it breaks.
+    """
+    rest = F.struct(*(c for c in ("scope_id", "recorded_at", "supersedes_record_id", "kind") if c in records.columns))
+    one = records.groupBy("record_id").agg(F.min(rest).alias("_r"), (~F.min(rest).eqNullSafe(F.max(rest))).alias("_conflict"))
+    conflicts = one.filter("_conflict").select("record_id", F.lit("conflicting_content").alias("violation"))
+    records = one.filter("not _conflict").select("record_id", "_r.*")
+    kind = F.col("kind") if "kind" in records.columns else F.lit("")
+    target = one.select(F.col("record_id").alias("supersedes_record_id"), F.col("_r.scope_id").alias("their_scope"), F.col("_r.recorded_at").alias("their_time"), (F.col("_r.kind") if "kind" in records.columns else F.lit("")).alias("their_kind"))
     seen = records.filter("supersedes_record_id is not null").join(target, "supersedes_record_id", "left")
     broken = (
         F.when(F.col("supersedes_record_id") == F.col("record_id"), "self_edge").when(F.col("their_scope").isNull(), "missing_target")
-        .when(F.col("their_scope") != F.col("scope_id"), "cross_scope").when(F.col("recorded_at") <= F.col("their_time"), "not_later")
+        .when(F.col("their_scope") != F.col("scope_id"), "cross_scope").when(~F.col("their_kind").eqNullSafe(kind), "other_kind").when(F.col("recorded_at") <= F.col("their_time"), "not_later")
     )
     one = seen.select("record_id", broken.alias("violation")).filter("violation is not null")
     twice = records.filter("supersedes_record_id is not null").groupBy("supersedes_record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return one.unionByName(twice.select(F.col("supersedes_record_id").alias("record_id"), F.lit("branch").alias("violation")))
+    return conflicts.unionByName(one).unionByName(twice.select(F.col("supersedes_record_id").alias("record_id"), F.lit("branch").alias("violation")))
 
 
 def roots(records: DataFrame, depth: int = 20) -> DataFrame:

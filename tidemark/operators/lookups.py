@@ -34,15 +34,19 @@ def subjects(keys: DataFrame, mappings: DataFrame, versions: DataFrame, key: str
     """Each distinct key with its instrument and version, or the reason why there is none.
 
     mappings (key, instrument, visible) and versions (instrument, version_id, visible): `visible` says whether a row holds at both cutoffs.
-    Reasons: unknown_provider_key, stale_provider_mapping, ambiguous_provider_mapping, ambiguous_contract_version.
+    Mappings may name their version_id: then it must be the one found. Reasons: unknown_provider_key, stale_provider_mapping,
+    ambiguous_provider_mapping, ambiguous_contract_version, mapping_of_other_version.
     """
+    named = F.col("version_id") if "version_id" in mappings.columns else F.lit(None)
+    mappings = mappings.withColumn("_named", named)
     seen = F.col("visible")
-    m = mappings.groupBy(key).agg(F.count_if(seen).alias("_m"), F.min(F.when(seen, F.col(instrument))).alias(instrument), F.lit(True).alias("_known"))
+    m = mappings.groupBy(key).agg(F.count_if(seen).alias("_m"), F.min(F.when(seen, F.col(instrument))).alias(instrument), F.min(F.when(seen, F.col("_named"))).alias("_named"), F.lit(True).alias("_known"))
     v = versions.filter(seen).groupBy(instrument).agg(F.count(F.lit(1)).alias("_v"), F.min("version_id").alias("version_id"))
     out = keys.select(key).distinct().join(m, key, "left").join(v, instrument, "left")
     reason = (
         F.when(F.col("_known").isNull(), "unknown_provider_key").when(F.col("_m") == 0, "stale_provider_mapping").when(F.col("_m") > 1, "ambiguous_provider_mapping")
         .when(F.col("_v").isNull(), "stale_provider_mapping").when(F.col("_v") > 1, "ambiguous_contract_version")
+        .when(F.col("_named") != F.col("version_id"), "mapping_of_other_version")
     )
     good = reason.isNull()
     return out.select(key, F.when(good, F.col(instrument)).alias(instrument), F.when(good, F.col("version_id")).alias("version_id"), reason.alias("reason"))
