@@ -36,7 +36,7 @@ def strategy_hash(config: Mapping, without: tuple[str, ...] = ("created_at",)) -
 
 
 def twelve_digits(value: Column) -> Column:
-    """A number in twelve significant digits without trailing zeros, with an exponent of two digits or more below 0.0001 and from 10^12 on."""
+    """A number in twelve significant digits without trailing zeros, with an exponent of two digits or more below 0.0001 and from 10^12 on; where its shortest text has a 5 as thirteenth and last digit, it rounds up."""
     text = F.format_string("%.11e", value)
     power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[\d.]+)", 1), r"\.?0+$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 from pyspark.errors import AnalysisException
@@ -9,21 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lookups
+from tidemark.sources.store import put_if_absent
 
 
 def write_run(spark: SparkSession, root: str, manifest: dict, tables: dict[str, DataFrame]) -> str:
-    """Writes a run's tables under root/run_id and its manifest last, so that a listing never shows half a run. Nothing is ever overwritten; a failure is kept in the manifest."""
+    """Writes a run's tables under root/run_id and its manifest last, so that a listing never shows half a run.
+
+    The run's id is claimed first, in one step: a second run of an id, at any time, raises CommitConflict before it has
+    written anything. Nothing is ever overwritten; a failure is kept in the manifest and raised as it is.
+    """
     home = f"{root.rstrip('/')}/{manifest['run_id']}"
-    status = {"status": "completed", "error": None}
+    put_if_absent(spark, f"{home}/claim", json.dumps(manifest, sort_keys=True, default=str).encode())
+
+    def close(status: dict) -> None:
+        body = json.dumps(manifest | status, sort_keys=True)
+        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{home}/manifest")
+
     try:
         for name, frame in tables.items():
             frame.write.mode("errorifexists").parquet(f"{home}/{name}")
     except Exception as error:
-        status = {"status": "failed", "error": type(error).__name__}
+        with contextlib.suppress(Exception):  # the first error counts
+            close({"status": "failed", "error": type(error).__name__})
         raise
-    finally:
-        body = json.dumps(manifest | status, sort_keys=True)
-        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{home}/manifest")
+    close({"status": "completed", "error": None})
     return home
 
 
