@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import digests
-from tidemark.operators import stored
+from tidemark.operators import lifecycle, stored
 from tidemark.sources.prices import daily_closes
 
 KNOWN = datetime.datetime(1997, 6, 1)
@@ -79,9 +80,24 @@ def dataset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.dataset_ids(daily_closes(spark, sf_dir), "csv")
 
 
-QUERIES = {f.__name__: f for f in (stored_mappings, identified_instruments, subject_observations, provider_states, resolution_audit, provider_instruments, dataset_ids)}
+def lifecycle_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as sevens of connection states; some follow the wrong state, some failures lack their reason, some others have one."""
+    e, names = F.col("event_id"), ("connecting", "connected", "authorized", "failed", "reconnecting", "closing", "closed")
+    place = (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) % 7
+    rows = _table(spark, sf_dir, "events").withColumn("n", place)
+    name = lambda at: F.get(F.array(*map(F.lit, names)), at)
+    state = name(F.col("n"))
+    reason = F.when((state == "failed") & (e % 3 != 0), "timeout").when((state != "failed") & (e % 17 == 0), "odd")
+    raw = rows.select(e, e.cast("string").alias("raw_event_id"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("session_id"), F.when(e % 13 == 0, "closed").otherwise(F.when(F.col("n") > 0, name(F.col("n") - 1))).alias("previous_state"), state.alias("state"), reason.alias("reason_code"))
+    return lifecycle.observed(raw.drop("event_id"), "connection", "session_id").select("raw_event_id", "fault", F.col("event_id").alias("observation_id"))
+
+
+QUERIES = {f.__name__: f for f in (lifecycle_observations, stored_mappings, identified_instruments, subject_observations, provider_states, resolution_audit, provider_instruments, dataset_ids)}
 _SEG = "case p_partkey % 4 when 0 then 'XN_INDEX' when 1 then 'XN_EQ' when 2 then 'XB_EQ' else 'XX_FO' end"
 ORACLE_SQL = {
+    "lifecycle_observations": """with n as (select *, (row_number() over (partition by user_id order by event_id) - 1) % 7 as n from events),
+f as (select event_id::varchar as raw_event_id, user_id, case when event_id % 13 = 0 then 'transition' when n = 3 and event_id % 3 = 0 then 'reason_missing' when n <> 3 and event_id % 17 = 0 then 'reason_given' end as fault from n)
+select raw_event_id, fault, case when fault is null then 'sha256:' || sha256('{"entity":"normalized_market_event","event_type":"provider_connection_lifecycle_observation","normalization_schema_version":"1","raw_event_id":"' || raw_event_id || '","subject_id":"c' || user_id || '"}') end as observation_id from f""",
     "stored_mappings": """with m as (select l_orderkey as mapping_id, min(l_partkey) as version_id, max(l_suppkey) % 7 as k from lineitem group by 1)
 select mapping_id, version_id, o_orderkey * 2 as record_id, case when o_orderkey % 3 = 0 then o_orderkey - 1 end as supersedes_record_id, p_brand as instrument_id from m join orders on o_orderkey = mapping_id join part on p_partkey = version_id where k = 3 and o_orderdate <= timestamp '1997-06-01'""",
     "identified_instruments": """select c_custkey as instrument_id, ['underlying', 'future', 'option'][c_custkey % 3 + 1] as kind, c_custkey % 10 = 7 as lost, case when c_custkey % 3 = 0 and c_custkey % 10 <> 7 then c_mktsegment end as symbol,
