@@ -4,11 +4,13 @@ import datetime
 import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import conversions, digests, options
 from tidemark.operators import bitemporal, events, hedging, lookups, stored
+from tidemark.plans import market, market_sql
 from tidemark.sources import candles, feeds, runs
 from tidemark.sources.store import CommitConflict
 
@@ -26,6 +28,20 @@ def test_numbers_beyond_all_bounds_crash_nothing(session):
     assert [r["instrument"] for r in found] == ["C"]
 
 
+def test_times_of_keys_beyond_the_year_9999(session, tmp_path):
+    """Keys of larger tables: their moments lie after the year 9999, which the SQL keeps."""
+    keys = (0, 3, 2_932_896, 2_932_897, 9_000_001, 53_999_999)
+    rows = [(k, "1-URGENT", "F", 10.5) for k in keys]
+    session.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = market.provider_conversions(session, str(tmp_path)).orderBy("o_orderkey").collect()
+    db = duckdb.connect()
+    db.execute(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    want = db.execute(f"select * from ({market_sql.ORACLE_SQL['provider_conversions']}) order by o_orderkey").fetchall()
+    assert [tuple(r) for r in got] == want and got[-1]["expiry"] == "149816-12-24"
+    late = session.range(1).select(conversions.epoch_time(F.lit(253_402_300_800_000.0)).alias("x"), F.unix_millis(conversions.epoch_time(F.lit(253_402_300_800_000.0), conversions.LAST_MILLIS)).alias("y")).first()
+    assert late["x"] is None and late["y"] == 253_402_300_800_000
+
+
 def test_candles_of_an_envelope_and_of_a_bare_array(session):
     row = '["2024-01-02T15:00:00+05:30", 1, 2, 0, %s, 9]'
     bodies = [(1, f'{{"status": "success", "data": {{"candles": [{row % 5}]}}}}'), (2, f"[{row % 6}]"), (3, '{"data": {}}'), (4, "{"), (5, None), (6, '{"data": {"candles": []}}')]

@@ -11,10 +11,14 @@ def epoch_millis(value: Column, zero_is_none: bool = True) -> Column:
     return F.when(value != 0, at) if zero_is_none else at
 
 
-def epoch_time(value: Column) -> Column:
-    """Seconds since the epoch, or milliseconds where the number is too great for seconds; null beyond the year 9999."""
+#: The last millisecond of the year 9999, and the last one that a timestamp can hold.
+YEAR_9999, LAST_MILLIS = 253_402_300_799_999, 9_223_372_036_854_775
+
+
+def epoch_time(value: Column, last: int = YEAR_9999) -> Column:
+    """Seconds since the epoch, or milliseconds where the number is too great for seconds; null beyond the last millisecond."""
     millis = F.when(value > 10_000_000_000, value).otherwise(value * 1000)
-    return F.timestamp_millis(F.when(F.abs(millis) <= 253_402_300_799_999, millis).try_cast("long"))
+    return F.timestamp_millis(F.when(F.abs(millis) <= last, millis).try_cast("long"))
 
 
 def price_decimal(value: Column) -> Column:
