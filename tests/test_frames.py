@@ -120,3 +120,44 @@ def test_rules_of_statuses_frames_and_subjects(session):
     subject |= {f"{p}_{n}": v for p in ("mapping", "version") for n, v in (("valid_from", at(1)), ("valid_until", None), ("recorded_at", at(1)), ("superseded_at", at(9)))}
     changes = ({"mapping_version_id": "w"}, {"version_valid_until": at(5)}, {"mapping_superseded_at": at(5)}, {"kind": "bond"}, {"version_valid_from": None}, {"provider_key": "k\x01"})
     assert broken(constraints.subject_rules(), subject, *changes) == ["", "mapping_of_other_version", "stale_contract_version", "stale_provider_mapping", "kind_unknown", "stale_contract_version", "provider_key,mapping_of_other_key"]
+
+
+def test_columns_of_messages_are_written_as_one_by_one():
+    rng = random.Random(3)
+
+    def value(message, depth=0):
+        out = {}
+        for f in wire.MESSAGES[message]:
+            one = {
+                "double": lambda: rng.choice([0.0, -0.0, 1.5, float("nan"), float("-inf")]), "long": lambda: rng.choice([0, 1, 127, 128, -1, 2**62, -(2**63)]), "enum": lambda: rng.choice([0, 2, 300, -5]), "string": lambda: rng.choice(["", "é|x", "k" * 200]),
+                "message": lambda: value(f.of, depth + 1), "messages": lambda: [value(f.of, depth + 1) for _ in range(rng.randrange(4))], "map": lambda: [value(f"{f.of}Entry", depth + 1) for _ in range(rng.randrange(4))],
+            }[f.kind]
+            out[f.name] = None if rng.random() < 0.2 else one()
+        return out
+
+    rows = [None if i % 11 == 5 else value("Response") for i in range(60)]
+    column = pa.array(rows, wire.arrow_type("Response"))
+    for part, wanted in ((column, rows), (column[7:31], rows[7:31]), (column[:0], [])):
+        data, size = wire.written_all(part)
+        want = [b"" if r is None else wire.written(r) for r in wanted]
+        assert size.tolist() == [len(w) for w in want] and data.tobytes() == b"".join(want)
+
+
+def test_frames_of_many_rows_keep_their_keys_and_nulls(session):
+    kind = f"k long, v {wire.ddl(wire.arrow_type('Response'))}"
+    rows = [(i, None if i % 7 == 3 else {"type": i % 3, "feeds": [], "current_ts": i, "info": None}) for i in range(50)]
+    got = wire.encoded(session.createDataFrame(rows, kind), "v").collect()
+    assert {r["k"]: None if r["frame"] is None else bytes(r["frame"]) for r in got} == {k: None if v is None else wire.written(v) for k, v in rows}
+
+
+def test_results_exchange_no_whole_frames(session):
+    frames = session.createDataFrame([(1, None)], f"frame_id long, response {wire.ddl(wire.arrow_type('Response'))}")
+    subjects = session.createDataFrame([], "provider_key string, subject_id string, kind string, subject_fault string")
+    judged = fr.judged(frames)
+    out = fr.results(judged, "frame_id", fr.quotes(judged, subjects))
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    kinds = [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+    assert kinds and not any("ltpc" in k for k in kinds)
+    assert [(r["fault"], r["status"]) for r in out.collect()] == [("protobuf_decode_failed", "failed")]

@@ -165,13 +165,16 @@ def results(frames: DataFrame, key: str, entries: DataFrame) -> DataFrame:
     combined before the one exchange by the key.
     """
     counts = entries.groupBy(key).agg(F.count_if(F.col("reason").isNull()).alias("_a"), F.count(F.lit(1)).alias("_d"))
-    paths = lambda name: F.array_sort(F.array_distinct(F.flatten(F.transform("response.feeds", lambda e: structure(e["value"])[name]))))
     good = F.col("fault").isNull()
-    out = frames.join(counts, key, "left")
+    paths = lambda name: F.when(good, F.array_sort(F.array_distinct(F.flatten(f"_s.{name}"))))
     states = F.when(good & (F.col("response_type") == "market_info"), F.size("response.info.segments"))
-    accepted, decoded = (F.coalesce(c, states, F.lit(0)).cast("long") for c in (F.col("_a"), F.col("_d")))
+    # what is wanted of a frame is taken before the exchange, which need not carry whole frames
+    slim = frames.select(key, "response_type", "fault", "secondary_paths", states.alias("_states"), F.when(good, F.transform("response.feeds", lambda e: structure(e["value"]))).alias("_s"))
+    slim = slim.select(key, "response_type", "fault", "secondary_paths", "_states", paths("declared").alias("unadopted_paths"), paths("present").alias("present_paths"))
+    out = slim.join(counts, key, "left")
+    accepted, decoded = (F.coalesce(c, F.col("_states"), F.lit(0)).cast("long") for c in (F.col("_a"), F.col("_d")))
     status = F.when(~good | (accepted == 0), "failed").when(accepted < decoded, "partial").otherwise("complete")
     return out.select(
         key, "response_type", "fault", status.alias("status"), decoded.alias("decoded"), accepted.alias("accepted"), (decoded - accepted).alias("failed"),
-        F.when(good, paths("declared")).alias("unadopted_paths"), F.when(good, paths("present")).alias("present_paths"), "secondary_paths",
+        "unadopted_paths", "present_paths", "secondary_paths",
     )
