@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import conversions, digests, options
-from tidemark.operators import bitemporal, events, hedging, lookups, stored
+from tidemark.operators import bitemporal, events, hedging, lookups, risk, stored
 from tidemark.plans import market, market_sql
 from tidemark.sources import candles, feeds, runs
 from tidemark.sources.store import CommitConflict
@@ -63,6 +63,36 @@ def test_calendars(session):
     assert got == {1: D(2024, 1, 9), 2: D(2024, 1, 10), 3: None, 4: D(2024, 12, 23), 5: None, 6: None}
 
 
+def _nodes(frame, name):
+    return frame._jdf.queryExecution().sparkPlan().toString().count(name)
+
+
+def test_steps_follow_from_whole_ranges_without_a_window(session):
+    ranges = session.createDataFrame([(1, D(2024, 1, 5), D(2024, 1, 16)), (2, D(2024, 1, 6), D(2024, 1, 6)), (3, D(2024, 3, 8), D(2024, 3, 12))], "k int, first date, last date")
+    days = events.sessions(ranges, "first", "last", ["2024-01-08"])
+    for entry in ("09:30", "10:00", "15:15"):
+        got, want = (events.decisions(days, ["09:30", "10:00", "15:15"], by, entry, "America/New_York") for by in (None, "k"))
+        assert sorted(got.collect()) == sorted(want.collect()) and (_nodes(got, "Window"), _nodes(want, "Window")) == (0, 1)
+
+
+def test_marked_states_sort_once_for_the_run_and_once_for_the_session(session):
+    rows = [(1, s, c, float(v), 10.0, h) for c, (s, v, h) in enumerate([(0, 11, True), (0, 12, False), (1, 9, True), (0, 8, True), (1, 7, None)])]
+    out = risk.marked(session.createDataFrame(rows, "run int, session int, clock int, value double, entry double, hedged boolean"), "run", "session", "clock", "value", "entry", F.col("hedged"))
+    got = [tuple(r)[-4:] for r in out.orderBy("clock").collect()]
+    assert got == [(1.0, 1.0, 1, 1), (2.0, 2.0, 1, 1), (-1.0, -3.0, 1, 2), (-2.0, -2.0, 2, 3), (-3.0, -5.0, 1, 3)]
+    assert _nodes(out, "Window ") == 2
+
+
+def test_lines_are_dealt_out_by_the_splits_of_their_files(session, tmp_path):
+    """What a task sorts stays as large however many files the table has."""
+    rows = session.range(0, 400).selectExpr("id div 4 l_orderkey", "id l_partkey", "id l_suppkey", "cast(id % 4 as int) l_linenumber", "1.0D l_extendedprice")
+    for files in (1, 12):
+        rows.repartition(files).write.option("parquet.block.size", 1024).mode("overwrite").parquet(f"{tmp_path}/{files}/lineitem.parquet")
+        read = session.read.parquet(f"{tmp_path}/{files}/lineitem.parquet").rdd.getNumPartitions()
+        lines = market._lines(session, f"{tmp_path}/{files}")
+        assert lines.rdd.getNumPartitions() == 4 * read and lines.filter("step = l_linenumber + 1").count() == 400
+
+
 def test_records_of_several_kinds_and_contents(session):
     rows = [(1, "a", "v", T(1), None), (1, "a", "v", T(1), None), (2, "a", "m", T(2), 1), (3, "a", "v", T(3), None), (3, "a", "v", T(4), None), (4, "a", "v", T(5), 2)]
     records = session.createDataFrame(rows, "record_id long, scope_id string, kind string, recorded_at timestamp, supersedes_record_id long")

@@ -45,16 +45,22 @@ def sessions(ranges: DataFrame, first: str, last: str, holidays: list[str] | Non
     return ranges.select("*", F.posexplode(days).alias("session", "session_date"))
 
 
-def decisions(days: DataFrame, times: list[str], by: str, entry: str, zone: str, periods: int = 252) -> DataFrame:
+def decisions(days: DataFrame, times: list[str], by: str | None, entry: str, zone: str, periods: int = 252) -> DataFrame:
     """The decision times of each range's sessions (`sessions` gives session and session_date), numbered by `step`: the first session begins at the entry time.
 
     decision_at is the moment of the local time in its zone, years the part of a year since the decision before: 0 at first.
+    Without `by` each range has all its sessions as `sessions` numbers them, so its steps follow from those numbers; with it,
+    the rows of a key are gathered and numbered, also where sessions are left out.
     """
     if entry not in times or times != sorted(set(times)):
         raise ValueError("times are distinct, in order, and hold the entry")
     rows = days.select("*", F.posexplode(F.array(*map(F.lit, times))).alias("decision", "local_time")).filter((F.col("session") > 0) | (F.col("local_time") >= entry))
-    step = F.row_number().over(W.partitionBy(by).orderBy("session", "decision")) - 1
-    local = F.to_timestamp_ntz(F.concat_ws(" ", F.col("session_date").cast("string"), F.col("local_time")), F.lit("yyyy-MM-dd HH:mm"))
+    if by is None:
+        step = (F.col("session") * len(times) + F.col("decision") - times.index(entry)).cast("int")
+    else:
+        step = F.row_number().over(W.partitionBy(by).orderBy("session", "decision")) - 1
+    minutes = [60 * int(t[:2]) + int(t[3:]) for t in times]
+    local = F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.get(F.array(*map(F.lit, minutes)), F.col("decision")))
     moment = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
     return rows.withColumn("step", step).withColumn("decision_at", moment).withColumn("years", F.when(F.col("step") == 0, 0.0).otherwise(1.0 / (periods * len(times))))
 

@@ -11,6 +11,7 @@ from tidemark.plans import market, market_sql, wire_frames
 from tidemark.plans import records as rec
 from tidemark.sources.store import Store, successors
 from tidemark.streaming.quotes import folder
+from tidemark.workers import dealt
 
 HOLIDAYS = ["1996-01-01", "1997-01-01", "1997-12-25"]
 
@@ -41,8 +42,9 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three decisions on each session of the fifteen days from an order's, the first at ten; some ranges are reversed and empty."""
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
-    ranges = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", day.alias("first"), F.date_add(day, F.when(key % 9 == 0, -3).otherwise(15)).alias("last"))
-    out = events.decisions(events.sessions(ranges, "first", "last", HOLIDAYS), ["09:30", "10:00", "15:15"], "o_orderkey", "10:00", "Asia/Kolkata")
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderkey")  # each becomes some thirty rows
+    ranges = orders.select("o_orderkey", day.alias("first"), F.date_add(day, F.when(key % 9 == 0, -3).otherwise(15)).alias("last"))
+    out = events.decisions(events.sessions(ranges, "first", "last", HOLIDAYS), ["09:30", "10:00", "15:15"], None, "10:00", "Asia/Kolkata")
     return out.select("o_orderkey", F.col("step").cast("long").alias("step"), "session_date", "local_time", F.date_format("decision_at", "yyyy-MM-dd HH:mm:ss").alias("decision_utc"), F.round("years", 10).alias("years"))
 
 

@@ -22,3 +22,8 @@ def kept(frame: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return frame.checkpoint()
+
+
+def dealt(frame: DataFrame, key: str) -> DataFrame:
+    """The rows of files dealt out by a key, into four partitions for each split of the files: however large the table is, what a task sorts or gathers stays as large."""
+    return frame.repartition(4 * frame.rdd.getNumPartitions(), key)
