@@ -43,11 +43,13 @@ def marked(states: DataFrame, run: str, session: str, clock: str, value: str, re
     states: one row per run and clock; `reference` is the run's value at entry. A row's own hedge counts from that row on.
     """
     order, within = W.partitionBy(run).orderBy(clock), W.partitionBy(run, session).orderBy(clock)
-    out = states.withColumn("_before", F.coalesce(F.lag(value).over(order), F.col(reference)))
-    out = out.withColumn("position_pnl", F.col(value) - F.col(reference)).withColumn("session_pnl", F.col(value) - F.first("_before").over(within))
     count = F.coalesce(hedged.cast("long"), F.lit(0))
     so_far = lambda w: F.sum(count).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return out.withColumn("session_hedges", so_far(within)).withColumn("total_hedges", so_far(order)).drop("_before")
+    # all that goes by the run's order first, then all that goes by the session's: one sort for each
+    out = states.withColumns({"_before": F.coalesce(F.lag(value).over(order), F.col(reference)), "_total": so_far(order)})
+    out = out.withColumns({"_first": F.first("_before").over(within), "_session": so_far(within)})
+    named = {"position_pnl": F.col(value) - F.col(reference), "session_pnl": F.col(value) - F.col("_first"), "session_hedges": F.col("_session"), "total_hedges": F.col("_total")}
+    return out.withColumns(named).drop("_before", "_total", "_first", "_session")
 
 
 def state_gates(states: DataFrame, nav: float, position_fraction: float, daily_fraction: float, most_hedges: int, widest_delta: float) -> DataFrame:
