@@ -332,3 +332,60 @@ def test_frequent_words_are_bounded(spark, folder, monkeypatch):
 def test_class_model_beats_unigrams_on_held_out_text(spark):
     tested = [r for r in rows(spark, "/root/testdata/sf0.01", "op2_scoring") if r["held_out"]]
     assert sum(r["score"] for r in tested) > sum(r["base_score"] for r in tested)
+
+
+class _Taken:
+    """Stands for a DataFrame: keeps the functions that are given to mapInArrow."""
+
+    def __init__(self):
+        self.functions = []
+
+    def mapInArrow(self, work, schema):
+        self.functions.append(work)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def test_scoring_workers_hold_little_at_a_time(monkeypatch):
+    """12 MB of text of 300,000 different words: memory follows the chunks and not the text, and cuts change no count."""
+    import tracemalloc
+
+    from tidemark.llm import scoring
+
+    monkeypatch.setattr(scoring, "F", _Taken())
+    rng = np.random.default_rng(4)
+    texts_ = [" ".join(map(str, rng.integers(0, 300_000, 300))) for _ in range(6000)]
+    batch = pa.record_batch([pa.array(texts_, pa.string())], ["text"])
+    seed = np.unique(np.concatenate([h for _, _, h, _, _ in scoring.tokens(pa.array(texts_[:1]))]))
+
+    class Every:
+        value = (12, np.full(64, 2**64 - 1, np.uint64))
+
+    def sums(*sizes):
+        for name, size in zip(("CHUNK", "HELD"), sizes):
+            monkeypatch.setattr(scoring, name, size, raising=False)
+        taken = _Taken()
+        scoring.vocabulary(taken)
+        scoring.neighbours(taken, seed, np.arange(len(seed)) % scoring.CLASSES, Every)
+        found = []
+        for work, kept in zip(taken.functions, (["n"], scoring.SIDES)):
+            tracemalloc.start()
+            total = defaultdict(int)
+            peak = 0
+            for out in work(iter([batch])):
+                peak = max(peak, tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+                mass = np.column_stack([out[c].to_numpy() for c in kept]) @ np.arange(1, len(kept) + 1)
+                for w, n in zip(out["word"].to_pylist(), mass.tolist()):
+                    total[w] += n
+                tracemalloc.start()
+            tracemalloc.stop()
+            found.append((total, peak))
+        return found
+
+    little, whole = sums(1 << 20, 1 << 18), sums(1 << 30, 1 << 30)
+    for (counts, peak), (same, more) in zip(little, whole):
+        assert counts == same and len(counts) > 250_000
+        assert peak < 60e6 < more  # 41 and 32 MB

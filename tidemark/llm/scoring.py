@@ -40,12 +40,14 @@ OTHER, STOP, KINDS = CLASSES, CLASSES + 1, CLASSES + 2
 SIDES = [f"{side}{k}" for side in ("left", "right") for k in range(KINDS)]
 #: Bytes of text to a block of documents.
 BLOCK = 8 << 20
+#: Bytes of text, or tokens, worked on at a time, and words held before they are sent on: they bound the memory of a Python worker.
+CHUNK, HELD = 1 << 20, 1 << 18
 
 
 def tokens(column: pa.Array):
     """Chunks of (row range, word hashes, tail classes, first word of each row)."""
     data, offsets = _text.buffer(column)
-    for lo, hi in _text.chunks(offsets, BLOCK):
+    for lo, hi in _text.chunks(offsets, CHUNK):
         d, o = _text.LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = _text.spans(~_text.SPACE[d], o)
         h = _text.hash_spans(d, starts, ends)
@@ -53,14 +55,33 @@ def tokens(column: pa.Array):
         yield lo, hi, h, tail, first
 
 
+def held(parts):
+    """Tuples of arrays, of which the parts come one by one, joined until they are HELD long together."""
+    some, size = [], 0
+    for part in parts:
+        some.append(part)
+        size += len(part[0])
+        if size >= HELD:
+            yield tuple(map(np.concatenate, zip(*some)))
+            some, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*some)))
+
+
 def vocabulary(training: DataFrame) -> DataFrame:
     """(word, tail, n) of every training word."""
 
-    def work(batches):
+    def kinds(batches):
         for b in batches:
             for _, _, h, tail, _ in tokens(b.column(0)):
                 w, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(tail[at], pa.int32()), pa.array(n)], ["word", "tail", "n"])
+                yield w, tail[at].astype(np.int32), n
+
+    def work(batches):
+        for words, tail, n in held(kinds(batches)):
+            w, at, row = np.unique(words, return_index=True, return_inverse=True)
+            total = np.bincount(row, n, len(w)).astype(np.int64)
+            yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(tail[at]), pa.array(total)], ["word", "tail", "n"])
 
     return training.select("text").mapInArrow(work, "word long, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
@@ -162,18 +183,25 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, roun
 def neighbours(training: DataFrame, words: np.ndarray, classes: np.ndarray, wanted) -> DataFrame:
     """(word, counts of its left and right neighbours by kind) of the words outside the seed that the broadcast bitmap lets through."""
 
-    def work(batches):
+    def sides(batches):
         for b in batches:
             for _, _, h, _, first in tokens(b.column(0)):
                 at = place(h, words, -1)
                 line, where = lined(np.append(classes, OTHER)[at], first, STOP)
                 of = np.flatnonzero((at < 0) & blobs.maybe(h, wanted.value))
-                w, row = np.unique(h[of], return_inverse=True)
-                cell = row * len(SIDES)
-                total = np.bincount(cell + line[where[of] - 1], minlength=len(w) * len(SIDES))
-                total += np.bincount(cell + KINDS + line[where[of] + 1], minlength=len(w) * len(SIDES))
+                yield h[of], line[where[of] - 1].astype(np.uint8), line[where[of] + 1].astype(np.uint8)
+
+    def work(batches):
+        for h, left, right in held(sides(batches)):
+            w, row = np.unique(h, return_inverse=True)
+            for lo in range(0, len(w), HELD // len(SIDES)):
+                hi = min(lo + HELD // len(SIDES), len(w))
+                mine = np.flatnonzero((row >= lo) & (row < hi))
+                cell = (row[mine] - lo) * len(SIDES)
+                total = np.bincount(cell + left[mine], minlength=(hi - lo) * len(SIDES))
+                total += np.bincount(cell + KINDS + right[mine], minlength=(hi - lo) * len(SIDES))
                 columns = total.reshape(-1, len(SIDES)).T
-                yield pa.record_batch([pa.array(w.view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in columns)], ["word", *SIDES])
+                yield pa.record_batch([pa.array(w[lo:hi].view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in columns)], ["word", *SIDES])
 
     schema = ", ".join(["word long", *(f"{x} long" for x in SIDES)])
     return training.select("text").mapInArrow(work, schema).groupBy("word").agg(*(F.sum(x).alias(x) for x in SIDES))
@@ -279,13 +307,14 @@ def looked_up(h: np.ndarray, tail: np.ndarray, tables) -> tuple[np.ndarray, np.n
     return n, s
 
 
-def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The states and first states of rows of state bytes."""
+def bytes_of(column: pa.Array):
+    """Chunks of (states, first state of each row) of rows of state bytes."""
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    for lo, hi in _text.chunks(offsets, CHUNK):
+        yield data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -307,18 +336,20 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // BLOCK)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(blocks)).cast("int"))
 
-    def wanted(batches):
+    def rare(batches):
         for b in batches:
             block = b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, h, _, first in tokens(b.column(0)):
-                of = np.repeat(block[lo:hi], np.diff(first))
-                rare = place(h, shared.value[0], -1) < 0
-                h, of = h[rare], of[rare]
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                yield pa.record_batch([pa.array(of[new], pa.int32()), pa.array(h[new].view(np.int64))], ["block", "word"])
+                at = np.flatnonzero(place(h, shared.value[0], -1) < 0)
+                yield h[at], np.repeat(block[lo:hi], np.diff(first))[at]
+
+    def wanted(batches):
+        for h, of in held(rare(batches)):
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            yield pa.record_batch([pa.array(of[new], pa.int32()), pa.array(h[new].view(np.int64))], ["block", "word"])
 
     asked = dealt.select("text", "block").repartition(blocks, "block").mapInArrow(wanted, "block int, word long")
     told = asked.join(known.filter(F.col("n") < least), "word").select("block", "word", "n", "state")
@@ -339,15 +370,17 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, words double, states binary"
     judged = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, schema))
-    moves = counted(judged.filter("train").select("states"), lambda column: [bytes_of(column)], STATES)
+    moves = counted(judged.filter("train").select("states"), bytes_of, STATES)
     step = np.log10((moves + 0.5) / (moves.sum(1, keepdims=True) + 0.5 * STATES))
 
     def walked(batches):
         for b in batches:
-            s, first = bytes_of(b.column(5))
-            line, _ = lined(s, first, END)
-            of = np.repeat(np.arange(b.num_rows), np.diff(first) + 1)
-            total = np.bincount(of, step[line[:-1], line[1:]], b.num_rows) + b.column(4).to_numpy()
+            sums = [np.zeros(0)]
+            for s, first in bytes_of(b.column(5)):
+                line, _ = lined(s, first, END)
+                of = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
+                sums.append(np.bincount(of, step[line[:-1], line[1:]], len(first) - 1))
+            total = np.concatenate(sums) + b.column(4).to_numpy()
             yield pa.record_batch([*b.columns[:3], pa.array(np.full(b.num_rows, n), pa.int64()), b.column(3), pa.array(total)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return judged.drop("train").mapInArrow(walked, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
